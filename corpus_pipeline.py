@@ -31,7 +31,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are packed into sequences; text_hash tells rows of one document with different texts apart."""
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("row"), "text")
-    cut = packing.pieces(keyed, packing.byte_bpe(), "row")
+    cut = packing.pieces(keyed, *packing.byte_bpe(), id_col="row")
     return packing.pack(written(cut.select("row.doc_id", "row.text_hash", "piece", "start", "length", "ids_crc32"), "pieces"))
 
 
