@@ -50,8 +50,10 @@ def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     total, rounds = jumps.count(), [jumps]
     while jumps.where("up IS NOT NULL").limit(1).count() and (1 << len(rounds)) <= 2 * total:
         above = jumps.select(F.col("conv").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("steps").alias("_s"), F.col("score").alias("_w"))
-        moved = jumps.join(above, _on(jumps, above, "up"), "left")
-        jumps = written(moved.select("conv", "node", F.col("_u").alias("up"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("_w", F.lit(0.0))).alias("score")), "jumps")
+        climbing, done = jumps.where("up IS NOT NULL"), jumps.where("up IS NULL")
+        moved = climbing.join(above, _on(climbing, above, "up"))
+        moved = moved.select("conv", "node", F.col("_u").alias("up"), (F.col("steps") + F.col("_s")).alias("steps"), (F.col("score") + F.col("_w")).alias("score"))
+        jumps = written(moved.unionByName(done), "jumps")
         rounds.append(jumps)
     parents = rounds[0].where("up IS NOT NULL").select(F.col("conv").alias("_c"), F.col("up").alias("_n")).distinct()
     leaves = jumps.where("up IS NULL").join(parents, _on(jumps, parents, "node"), "left_anti")
