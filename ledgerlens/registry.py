@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from .plans import cells, series  # noqa: F401  they register their queries
+from .plans.base import REGISTRY, SQL
 
-def flagship(spark, sf_dir):
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+QUERIES = REGISTRY
+ORACLE_SQL = SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide entity and year table with ratios and growth: scan, joins, aggregation, window and projection."""
+    return cells.analysis_wide(spark, sf_dir)
