@@ -42,11 +42,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epoch
     total, weight = F.sum("source_size").over(everything), F.sum("weight").over(everything)
     capped = F.coalesce(F.sum("_cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     gone = F.coalesce(F.sum("weight").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    out = out.withColumn("_level", (total - capped) / (weight - gone))
-    # The first source, by cap per weight, that stays at or below its cap sets the level for itself and all after it.
-    free = F.min(F.when(F.col("_level") * F.col("weight") <= F.col("_cap"), F.struct((F.col("_cap") / F.col("weight")).alias("c"), F.col("_level").alias("l")))).over(everything)
+    out = out.withColumn("_level", (total - capped) / (weight - gone)).withColumn("_place", F.row_number().over(by_level))
+    # The first source in that order that stays at or below its cap sets the level for itself and all after it.
+    free = F.min(F.when(F.col("_level") * F.col("weight") <= F.col("_cap"), F.struct(F.col("_place").alias("p"), F.col("_level").alias("l")))).over(everything)
     out = out.withColumn("_free", free["l"])
-    return out.withColumn("target", F.least(F.col("_cap").cast("double"), F.col("_free") * F.col("weight"))).drop("_cap", "_level", "_free")
+    return out.withColumn("target", F.least(F.col("_cap").cast("double"), F.col("_free") * F.col("weight"))).drop("_cap", "_level", "_place", "_free")
 
 
 def apportion(claims: DataFrame, group: list[str], claim: str, seats: str, order: list[str], out: str) -> DataFrame:
