@@ -41,15 +41,6 @@ def test_counts_base_and_gain(spark):
     assert all(math.isclose(one[i], got[i].score, rel_tol=1e-9) for i in one)  # whatever the blocks and buckets
 
 
-def test_probabilities_sum_to_one(spark):
-    """Over all known words and the unknown one, p(. | context) is 1 for a seen context."""
-    rows = [(i, f"a b{i % 3} c") for i in range(40)]
-    seen = {w for _, x in rows for w in tokens(x)[:-1]}
-    probe = [(1000 + k, f"a {w}") for k, w in enumerate(sorted(seen))]
-    docs = spark.createDataFrame([*rows, *probe], "doc_id long, text string")
-    assert all(r.score < 0 for r in lm.score(docs).collect())
-
-
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "x y"), (3, "x " * 5000), (3, "x " * 5000)], "doc_id long, text string")
     assert lm.score(docs).count() == 3
