@@ -29,13 +29,14 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK_TOKENS, BUCKET_TOKENS = 1_000_000, 1_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 500_000, 1_000_000
 TRAIN, DELETED, HELD = 0, 1, 2
 GRID = 4  # cells for each doubling
 NONE = -10_000  # grid value of an estimate that is zero
@@ -48,6 +49,24 @@ def folds(docs: DataFrame, id_col: str, text_col: str, deleted: int = 8) -> Data
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), fold.cast("int").alias("fold"))
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Small numbers as compressed 32-bit integers: what blocks and answers weigh in shuffles and tables."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").tobytes())
+
+
+def restored(x: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4") if x else np.empty(0, "<u4")
+
+
+def squeezed_counts(x: np.ndarray) -> bytes:
+    """Counts of a whole corpus: compressed 64-bit integers."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u8").tobytes())
+
+
+def restored_counts(x: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u8").astype(np.int64) if x else np.empty(0, np.int64)
+
+
 class Block:
     """Documents being tokenized: word numbers (0 is the end), and the distinct words in the order of their numbers."""
 
@@ -66,7 +85,7 @@ class Block:
 
     def row(self, block: int, fold: int) -> tuple:
         hashed = np.array([END_HASH, *map(xxhash.xxh64_intdigest, self.words)], "<u8")
-        return block, fold, self.ids, len(self.ids), self.n, np.array(self.sizes, "<u4").tobytes(), np.concatenate(self.numbers).astype("<u4").tobytes(), hashed.tobytes()
+        return block, fold, self.ids, len(self.ids), self.n, squeezed(np.array(self.sizes)), squeezed(np.concatenate(self.numbers)), hashed.tobytes()
 
 
 END_HASH, START_HASH = (xxhash.xxh64_intdigest(x) for x in (b" end", b" start"))  # no word has a space
@@ -101,12 +120,12 @@ class Pairs:
     """A block's numbers with the word before each, and its distinct pairs."""
 
     def __init__(self, sizes: bytes, numbers: bytes, hashes: bytes):
-        self.sizes, self.now, self.hashes = np.frombuffer(sizes, "<u4").astype(np.int64), np.frombuffer(numbers, "<u4").astype(np.int64), np.frombuffer(hashes, "<u8")
+        self.sizes, self.now, self.hashes = restored(sizes).astype(np.int64), restored(numbers).astype(np.int32), np.frombuffer(hashes, "<u8")
         self.start = len(self.hashes)  # number of the word before the first
         self.before = np.empty_like(self.now)
         self.before[1:] = self.now[:-1]
         self.before[np.cumsum(self.sizes) - self.sizes] = self.start
-        self.codes = self.before * (self.start + 1) + self.now
+        self.codes = self.before.astype(np.int64) * (self.start + 1) + self.now
 
     def hashed(self, codes: np.ndarray) -> np.ndarray:
         own = np.append(self.hashes, np.uint64(START_HASH))
@@ -129,14 +148,14 @@ QUESTION = ["bucket", "block", "fold", "h1", "n1", "h2", "n2"]
 def questions(table: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for r in (x for at in range(b.num_rows) for x in b.slice(at, 1).to_pylist()):
                 own = Pairs(r["sizes"], r["numbers"], r["hashes"])
                 codes, n2 = np.unique(own.codes, return_counts=True)
                 sides = []
                 for h, n in ((own.hashes, np.bincount(own.now, minlength=own.start)), (own.hashed(codes), n2)):
                     order, starts = dealt(h, bits)
-                    h, n = h[order], n[order].astype("<u4")
-                    sides += [[x[starts[i] : starts[i + 1]].tobytes() for i in range(1 << bits)] for x in (h, n)]
+                    h, n = h[order], n[order]
+                    sides += [[form(x[starts[i] : starts[i + 1]]) for i in range(1 << bits)] for x, form in ((h, np.ndarray.tobytes), (n, squeezed))]
                 fixed = [pa.array(np.arange(1 << bits)), pa.array(np.full(1 << bits, r["block"])), pa.array(np.full(1 << bits, r["fold"], np.int32))]
                 yield pa.record_batch([*fixed, *[pa.array(s, pa.binary()) for s in sides]], names=QUESTION)
 
@@ -153,7 +172,7 @@ def answer(asked: pa.Table) -> pa.Table:
     for side in ("1", "2"):
         hs = [np.frombuffer(x.as_py(), "<u8") for x in asked["h" + side]]
         sizes = np.array([len(h) for h in hs])
-        ns = np.frombuffer(b"".join(x.as_py() for x in asked["n" + side]), "<u4").astype(np.int64)
+        ns = np.concatenate([restored(x.as_py()) for x in asked["n" + side]]).astype(np.int64)
         distinct, at = np.unique(np.concatenate(hs), return_inverse=True)
         owner = np.repeat(fold, sizes)
         train = np.bincount(at, np.where(owner == TRAIN, ns, 0), len(distinct)).astype(np.int64)
@@ -161,8 +180,8 @@ def answer(asked: pa.Table) -> pa.Table:
         if side == "1":
             known = int((both > 0).sum()), int((train > 0).sum())
         ends = np.cumsum(sizes)
-        sides.append([both[at[e - s : e]].astype("<u8").tobytes() for s, e in zip(sizes, ends, strict=True)] + [b""])
-        sides.append([train[at[e - s : e]].astype("<u8").tobytes() if f == DELETED else b"" for s, e, f in zip(sizes, ends, fold, strict=True)] + [b""])
+        sides.append([squeezed_counts(both[at[e - s : e]]) for s, e in zip(sizes, ends, strict=True)] + [b""])
+        sides.append([squeezed_counts(train[at[e - s : e]]) if f == DELETED else b"" for s, e, f in zip(sizes, ends, fold, strict=True)] + [b""])
     n = len(fold)
     cols = [pa.array([*block.tolist(), -1]), pa.array([*fold.tolist(), -1], pa.int32()), pa.array([bucket] * (n + 1)), *[pa.array(s, pa.binary()) for s in sides]]
     return pa.table([*cols, pa.array([*[0] * n, known[0]]), pa.array([*[0] * n, known[1]])], names=ANSWER)
@@ -191,7 +210,7 @@ class Model:
         for side, h in (("1", own.hashes), ("2", own.hashed(codes))):
             order, _ = dealt(h, self.bits)
             counts = np.empty(len(h), np.int64)
-            counts[order] = np.frombuffer(b"".join(x.as_py() for x in answers[kind + side]), "<u8").astype(np.int64)
+            counts[order] = np.concatenate([restored_counts(x.as_py()) for x in answers[kind + side]])
             out.append(counts)
         return out[0], out[1][at]
 

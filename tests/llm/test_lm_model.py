@@ -30,7 +30,7 @@ def test_probabilities_sum_to_one():
 
 
 def test_pairs_know_their_documents():
-    own = lm.Pairs(np.array([3, 1, 2], "<u4").tobytes(), np.array([1, 2, 0, 0, 2, 0], "<u4").tobytes(), np.array([7, 8, 9], "<u8").tobytes())
+    own = lm.Pairs(lm.squeezed(np.array([3, 1, 2])), lm.squeezed(np.array([1, 2, 0, 0, 2, 0])), np.array([7, 8, 9], "<u8").tobytes())
     assert own.before.tolist() == [3, 1, 2, 3, 3, 2]
     assert len(set(own.hashed(np.unique(own.codes)).tolist())) == len(np.unique(own.codes))
 
