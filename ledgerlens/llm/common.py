@@ -42,13 +42,15 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def rank_within(df: DataFrame, key: str, order: list[str], chunks: int, out: str) -> DataFrame:
+def rank_within(df: DataFrame, key: str, order: list[str], chunk_rows: int, out: str) -> DataFrame:
     """Adds out: the rank from 0 of each row among those of its key, without gathering a key in one task.
 
-    The rows of a key are dealt over `chunks` chunks by a hash of the order columns; a chunk is ranked by itself and
-    starts where the counts of the earlier chunks end. Rows that tie in all order columns get different ranks.
+    df should be a written table, as it is read twice. A key's rows are dealt over as many chunks as they fill, by a hash
+    of the order columns; a chunk is ranked by itself and starts where the counts of the earlier chunks end. Rows that
+    tie in all order columns get different ranks.
     """
-    dealt = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)))
+    chunks = df.groupBy(F.col(key).alias("_k")).agg(F.ceil(F.count("*") / chunk_rows).alias("_chunks"))
+    dealt = df.join(chunks, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_chunk", F.pmod(F.xxhash64(*order), F.col("_chunks"))).drop("_k", "_chunks")
     counts = dealt.groupBy(key, "_chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -34,7 +34,7 @@ from .common import rank_within, written
 
 CAPACITY, END = 1024, 2
 #: A task holds at most so many rows of one length to rank them.
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 10_000
 
 
 class Encoder:
@@ -50,7 +50,7 @@ class Encoder:
     LONE = re.compile(r"(?<=\S)(?= \S)")
     PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\n]+")
 
-    def __init__(self, path: str, ranks: str | None = None, held: int = 700_000):
+    def __init__(self, path: str, ranks: str | None = None, held: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -217,8 +217,7 @@ def pack(cut: DataFrame, id_col: str = "doc_id", limits: Limits | None = None, c
     limits, spark = limits or Limits(), cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `tokens` rows
     plan = best_fit(histogram, limits)
-    chunks = -(-max(histogram.values(), default=1) // chunk_rows)
-    ranked = rank_within(cut, "length", [id_col, "piece", "ids_crc32"], chunks, "_rank")
+    ranked = rank_within(cut, "length", [id_col, "piece", "ids_crc32"], chunk_rows, "_rank")
     rows = spark.createDataFrame(plan.rows, "_length long, _from long, _to long, _first long, _each long, _offset long")
     on = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     out = ranked.join(F.broadcast(rows), on).withColumn("_at", F.col("_rank") - F.col("_from"))

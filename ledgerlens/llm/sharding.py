@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import rank_within, written
 
-SHARDS, UNITS, CHUNK_ROWS = 8, 4_000_000, 50_000
+SHARDS, UNITS, CHUNK_ROWS = 8, 4_000_000, 10_000
 
 
 class Tree:
@@ -110,19 +110,18 @@ def shard(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = N
     """
     spark = docs.sparkSession
     keyed = written(keyed_documents(docs, id_col, text_col), "keyed")
-    total, rows = keyed.agg(F.sum("size"), F.count("*")).first()
+    total = keyed.agg(F.sum("size")).first()[0]
     unit = max(1, (total or 0) // ((shards or 1 + total // capacity) * UNITS))
     groups = keyed.groupBy("_key").agg(F.ceil(F.sum("size") / unit).alias("units"))
     groups = written(groups, "groups")
     histogram = {r["units"]: r["n"] for r in groups.groupBy("units").agg(F.count("*").alias("n")).collect()}  # distinct sizes: bounded by UNITS
     plan, _ = best_fit_decreasing(histogram, capacity // unit) if capacity else least_capacity(histogram, shards)
-    chunks = -(-max(histogram.values(), default=1) // chunk_rows)
     placed = spark.createDataFrame(plan, "_units long, _from long, _to long, shard int")
-    ranked = rank_within(groups, "units", ["_key"], chunks, "_rank")
+    ranked = rank_within(groups, "units", ["_key"], chunk_rows, "_rank")
     on = (F.col("units") == F.col("_units")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     homes = ranked.join(placed, on).select("_key", "shard")
     out = written(keyed.join(homes, "_key").drop("_key"), "placed")
-    return rank_within(out, "shard", [id_col, "text_crc32"], -(-(rows or 1) // chunk_rows), "slot")
+    return rank_within(out, "shard", [id_col, "text_crc32"], chunk_rows, "slot")
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
