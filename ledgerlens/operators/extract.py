@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import half_width, parse_number
+from ..functions.exprs import half_width
 
 NUMBER = r"(\(?[△▲\-]?[0-9][0-9,]*(?:\.[0-9]+)?\)?)"
 
@@ -15,12 +15,12 @@ def number_tokens(df: DataFrame, keys: list[str], text: str, least_digits: int =
     """(keys, position, token, value, parenthetical): numbers of a text in order; bare integers of fewer digits are no amounts."""
     tokens = F.regexp_extract_all(half_width(F.coalesce(F.col(text), F.lit(""))), F.lit(NUMBER))
     rows = df.select(*keys, F.posexplode(tokens).alias("position", "token"))
-    digits = F.length(F.regexp_replace("token", "[^0-9]", ""))
-    amount = F.col("token").rlike("[,.]") | (digits >= least_digits)
-    whole = F.col("token").startswith("(") & F.col("token").endswith(")")
-    bare = F.regexp_replace("token", "[()]", "")
-    out = rows.where(amount).withColumn("parenthetical", whole)
-    return out.withColumn("value", F.when(whole, -F.abs(parse_number(bare))).otherwise(parse_number(F.regexp_replace(bare, "^-", "△"))))
+    bare = F.translate("token", "()△▲-,", "")
+    amount = F.contains("token", F.lit(",")) | F.contains("token", F.lit(".")) | (F.length(bare) >= least_digits)
+    whole = F.startswith("token", F.lit("(")) & F.endswith("token", F.lit(")"))
+    negative = whole | (F.length(F.translate("token", "△▲-", "")) < F.length("token"))
+    number = bare.try_cast("double")
+    return rows.where(amount).withColumn("parenthetical", whole).withColumn("value", F.when(negative, -number).otherwise(number))
 
 
 def keyword_hits(text: Column, words: list[str]) -> Column:
