@@ -7,7 +7,7 @@ are tested from the mildest on and the first failure ends the sequence (fixed-se
 number of rules and strata is to be corrected for: each is tested at confidence/(rules * strata) (Bonferroni), and the
 risk of a stratum is shared equally by its rules, so the union of all rules keeps to it. Of the proven cutoffs of a rule
 that with the largest gain (share of bad documents rejected less that of good ones) is used, the mildest of equals. A
-stratum without enough labels, or a rule without a gain, gets no cutoff: it rejects nothing beyond the base rules.
+stratum without enough labels, or a rule whose gain is below `risk`, gets no cutoff: it rejects nothing beyond the base rules.
 
 Nulls and texts without a word have no words and fail the base rules. Documents with a null stratum form a stratum of
 their own. Labels that repeat count once for each document; contradicting labels count as good. Documents that repeat
@@ -123,8 +123,8 @@ def learn_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     tested = tested.withColumn("p", binomial_tail("k", "n", share)).withColumn("level", level)
     failed = F.max(F.when(F.col("p") <= F.col("level"), 0).otherwise(1)).over(Window.partitionBy("stratum", "rule").orderBy("i"))
     tested = tested.withColumn("proven", failed == 0).withColumn("gain", F.expr("try_divide(b, bad) - try_divide(k, n)"))
-    # Of the proven cutoffs that with the largest gain is used, the mildest of equals; without a gain there is none.
-    useful = F.when(F.col("proven") & (F.col("gain") > 0), F.struct(F.col("gain"), (-F.col("i")).alias("mild"), F.col("cutoff")))
+    # Of the proven cutoffs that with the largest gain is used, the mildest of equals; a gain below the risk is not worth it.
+    useful = F.when(F.col("proven") & (F.col("gain") > risk), F.struct(F.col("gain"), (-F.col("i")).alias("mild"), F.col("cutoff")))
     return tested.groupBy("stratum", "rule").agg(F.max(useful).alias("best")).select("stratum", "rule", F.col("best.cutoff").alias("cutoff"))
 
 

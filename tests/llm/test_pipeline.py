@@ -76,3 +76,18 @@ def test_packing(stages):
 
 def test_run_is_the_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == len(stages["best_fit_packing"][1])
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, repeated rows, long and empty texts, and no rows at all go through every stage."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    clean = " ".join(f"v{i}" for i in range(80))
+    rows = [(1, clean, "en", "a", 9), (1, clean, "en", "a", 9), (None, clean + " x", None, None, None), (2, None, "en", "a", 0), (3, "", None, "b", 0), (4, long, "fr", None, 1), (None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (table, table.where("false")):
+        counts = []
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF)
+            docs = spark.createDataFrame(docs.rdd, docs.schema)
+            counts.append(docs.count())
+        assert counts[:2] in ([4, 2], [4, 3], [0, 0]) and bool(counts[3]) == bool(counts[0])
