@@ -155,9 +155,10 @@ def questions(table: DataFrame, bits: int) -> DataFrame:
                 for h, n in ((own.hashes, np.bincount(own.now, minlength=own.start)), (own.hashed(codes), n2)):
                     order, starts = dealt(h, bits)
                     h, n = h[order], n[order]
-                    sides += [[form(x[starts[i] : starts[i + 1]]) for i in range(1 << bits)] for x, form in ((h, np.ndarray.tobytes), (n, squeezed))]
-                fixed = [pa.array(np.arange(1 << bits)), pa.array(np.full(1 << bits, r["block"])), pa.array(np.full(1 << bits, r["fold"], np.int32))]
-                yield pa.record_batch([*fixed, *[pa.array(s, pa.binary()) for s in sides]], names=QUESTION)
+                    sides += [[form(x[starts[i] : starts[i + 1]]) if starts[i] < starts[i + 1] else b"" for i in range(1 << bits)] for x, form in ((h, np.ndarray.tobytes), (n, squeezed))]
+                full = [i for i in range(1 << bits) if sides[0][i] or sides[2][i]]  # no rows for nothing: rows never outnumber words and pairs
+                fixed = [pa.array(full, pa.int64()), pa.array([r["block"]] * len(full), pa.int64()), pa.array([r["fold"]] * len(full), pa.int32())]
+                yield pa.record_batch([*fixed, *[pa.array([x[i] for i in full], pa.binary()) for x in sides]], names=QUESTION)
 
     return table.select("block", "fold", "sizes", "numbers", "hashes").mapInArrow(run, "bucket bigint, block bigint, fold int, h1 binary, n1 binary, h2 binary, n2 binary")
 
