@@ -214,3 +214,30 @@ def html_cells(pages: DataFrame) -> DataFrame:
     rows = tables.select("page_id", "table", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)(<tr.*?</tr>)"))).alias("row", "r"))
     cells = rows.select("page_id", "table", "row", F.posexplode(F.regexp_extract_all("r", F.lit(r"(?is)(<t[dh].*?</t[dh]>)"))).alias("column", "c"))
     return cells.select("page_id", "table", "row", "column", strip(F.col("c")).alias("text"))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of the landed files under a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def zipped_texts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".html", ".htm", ".xhtml", ".txt", ".csv")) -> DataFrame:
+    """(path, member, text) of the text members of the zips under a folder, decoded as UTF-8 or else cp932."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for member in sorted(n for n in z.namelist() if n.lower().endswith(suffixes)):
+                        text = decoded(z.read(member), ("utf-8-sig", "cp932"))
+                        yield pa.record_batch([pa.array([p]), pa.array([member]), pa.array([text])], names=["path", "member", "text"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, member string, text string")
+
+
+def aliased(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """Columns by the first of their aliases that has a value; aliases that a table lacks do not count."""
+    pick = lambda xs: [nullify_blank(F.col(f"`{x}`")) for x in xs if x in df.columns] or [F.lit(None).cast("string")]
+    return df.select(*[F.coalesce(*pick(xs)).alias(c) for c, xs in aliases.items()])

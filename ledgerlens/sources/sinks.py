@@ -74,3 +74,35 @@ def markdown(df: DataFrame, most: int = 200) -> str:
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = [df.columns, ["---"] * len(df.columns), *rows]
     return "\n".join("| " + " | ".join(cell(v) for v in r) + " |" for r in lines)
+
+
+def write_xlsx(tables: dict[str, DataFrame], path: str, most: int = 100_000) -> None:
+    """A workbook with a sheet for each table, of at most so many rows, as inline texts and numbers; for exports of small results."""
+    import zipfile
+    from xml.sax.saxutils import escape, quoteattr
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"  # fixed values of the format
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f"<c><v>{v!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    names = list(tables)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for i, df in enumerate(tables.values(), 1):
+            rows = [df.columns, *flat(df).limit(most).collect()]
+            body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows)
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+        sheets = "".join(f'<sheet name={quoteattr(n[:31])} sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>{sheets}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">{links}</Relationships>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r0" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(names) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')

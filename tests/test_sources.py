@@ -59,3 +59,19 @@ def test_versions_and_stream(spark, tmp_path):
     sinks.write_any(nested, f"{tmp_path}/n", "csv")
     assert readers.read_csv(spark, f"{tmp_path}/n").head().a == "[1]"
     assert sinks.markdown(spark.createDataFrame([("a|b", None)], "x string, y int")).splitlines()[-1] == "| a\\|b |  |"
+
+
+def test_workbooks_manifests_and_aliases(spark, tmp_path):
+    df = spark.createDataFrame([("a<b", 1, 2.5), (None, None, None)], "x string, n int, d double")
+    sinks.write_xlsx({"first": df, "second": df.limit(1)}, str(tmp_path / "w.xlsx"))
+    assert [tuple(r) for r in readers.read_xlsx(spark, f"{tmp_path}/w.xlsx").collect()] == [("a<b", "1", "2.5"), (None, None, None)]
+    land = tmp_path / "land"
+    land.mkdir()
+    with zipfile.ZipFile(land / "z.zip", "w") as z:
+        z.writestr("a/b.html", "日本".encode("cp932"))
+        z.writestr("c.bin", b"x")
+    assert [(r.member, r.text) for r in readers.zipped_texts(spark, f"file://{land}").collect()] == [("a/b.html", "日本")]
+    row = readers.manifest(spark, f"file://{land}").head()
+    assert row.bytes == (land / "z.zip").stat().st_size and len(row.sha256) == 64
+    got = readers.aliased(spark.createDataFrame([("", "v"), ("u", "v")], "p string, q string"), {"a": ["p", "q"], "b": ["none"]}).collect()
+    assert [tuple(r) for r in got] == [("v", None), ("u", None)]
