@@ -17,9 +17,9 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,7 +102,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = content.as_py()
             if data[:2] == b"\x1f\x8b":
-                data = zlib.decompress(data, 31)
+                data = gzip.decompress(data)  # of one member, or one for each record
             rows = [(path, len(data), *c) for c in candidates(data)] or [(path, len(data), -1, -1, None, None, None, None, None)]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=NAMES)
 

@@ -41,6 +41,8 @@ def test_broken_file_fails(spark, tmp_path):
     record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     (tmp_path / "good.warc").write_bytes(record * 3)
     assert warc.read(spark, f"file://{tmp_path}/good.warc").count() == 3
+    (tmp_path / "members.warc.gz").write_bytes(gzip.compress(record) * 3)
+    assert warc.read(spark, f"file://{tmp_path}/members.warc.gz").count() == 3
     for name, data in (("cut.warc", record * 2 + record[:-3]), ("noise.warc", b"junk" + record)):
         (tmp_path / name).write_bytes(data)
         with pytest.raises(Exception, match="breaks off"):
