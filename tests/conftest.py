@@ -11,6 +11,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")  # many small queries: compile time is what they take
         .config("spark.checkpoint.dir", f"file://{shared}")
         .getOrCreate()
     )
