@@ -145,12 +145,13 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     Words keep the white space that follows them, and a document taken whole keeps its text as it is. A document of
     which nothing is taken goes.
     """
-    keyed = docs.withColumn("_o", F.xxhash64(id_col, text_col)).withColumn("_hash", F.xxhash64("_o"))
+    # One key for the places of twins and for the join, so that texts are shuffled once; nulls hash as texts that no source has.
+    own = F.xxhash64(id_col, F.coalesce(text_col, F.lit("")), F.coalesce(F.col(source_col), F.lit("\0")))
+    keyed = docs.withColumn("_o", own).withColumn("_hash", F.xxhash64("_o"))
     sizes = written(keyed.select("_o", "_hash", F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
-    taken = mixed(sizes, block_words=block_words, epochs=epochs, **how).where("taken > 0").groupBy("_o", "source").agg(F.collect_list(F.struct("size", "start", "blocks", "quota", "offset", "taken")).alias("_mix"))
-    twin = Window.partitionBy("_o", source_col).orderBy(F.lit(0))
-    rows = keyed.withColumn("_twin", F.row_number().over(twin))
-    rows = rows.join(taken.select(F.col("_o").alias("_k"), F.col("source").alias("_s"), "_mix"), (F.col("_o") == F.col("_k")) & F.col(source_col).eqNullSafe(F.col("_s")))
+    taken = mixed(sizes, block_words=block_words, epochs=epochs, **how).where("taken > 0").groupBy("_o").agg(F.collect_list(F.struct("size", "start", "blocks", "quota", "offset", "taken")).alias("_mix"))
+    twin = Window.partitionBy("_o").orderBy(F.lit(0))
+    rows = keyed.withColumn("_twin", F.row_number().over(twin)).join(taken, "_o")
     rows = rows.withColumn("_t", F.get("_mix", F.col("_twin") - 1)).where("_t IS NOT NULL")
     rows = rows.select(*[F.col(c).alias(f"_d_{c}") for c in docs.columns], "_t.*")
     rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
