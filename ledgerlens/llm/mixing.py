@@ -157,8 +157,13 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     # Blocks of a document go at most one above the whole turns, so an epoch has all its words, none, or the seeded blocks.
     rows = rows.withColumn("_turns", F.floor(F.col("quota") / F.col("blocks"))).where(F.col("_epoch") <= F.col("_turns") + 1)
-    pieces = F.regexp_extract_all(f"_d_{text_col}", F.lit(rf"({WORD}[\x20\x09-\x0D]*)"))
-    rows = rows.withColumn("_words", F.when(F.col("_epoch") > F.col("_turns"), pieces))
-    times = lambda w, i: block_times(F.floor((F.col("start") + i) / block_words)) >= F.col("_epoch")
-    rows = rows.withColumn(f"_d_{text_col}", F.when(F.col("_words").isNull(), F.col(f"_d_{text_col}")).otherwise(F.array_join(F.filter("_words", times), "")))
+    here = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))
+    seeded = F.when(F.col("_epoch") > F.col("_turns"), F.filter(here, lambda i: block_times(i) >= F.col("_epoch")))
+    rows = rows.withColumn("_seeded", seeded).where(F.col("_seeded").isNull() | (F.size("_seeded") > 0))
+    words = F.regexp_extract_all(f"_d_{text_col}", F.lit(rf"({WORD}[\x20\x09-\x0D]*)"))
+    begin = lambda i: F.greatest(i * block_words - F.col("start"), F.lit(0)).cast("int")
+    block = lambda w, i: F.slice(w, begin(i) + 1, ((i + 1) * block_words - F.col("start")).cast("int") - begin(i))
+    # The words are bound to a variable, so that a text is cut into words once and not for each of its blocks.
+    cut = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_seeded", lambda i: block(w, i))), "")), F.lit(0))
+    rows = rows.withColumn(f"_d_{text_col}", F.when(F.col("_seeded").isNull(), F.col(f"_d_{text_col}")).otherwise(cut))
     return rows.where(F.length(f"_d_{text_col}") > 0).select(*[F.col(f"_d_{c}").alias(c) for c in docs.columns])
