@@ -257,6 +257,21 @@ def full_outer_compare(spark, sf):
     return merge.full_compare(a, b, ["k"], "v")
 
 
+@query("full_outer_compare_all", """
+WITH a AS (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN -o_orderkey ELSE o_orderkey END AS k, round(o_totalprice, 2) AS v FROM orders),
+b AS (SELECT l_orderkey AS k, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS v FROM lineitem GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, a.v AS old_value, b.v AS new_value,
+  CASE WHEN a.k IS NULL THEN 'new_only' WHEN b.k IS NULL THEN 'old_only' WHEN a.v IS NULL AND b.v IS NULL THEN 'both_blank' WHEN abs(a.v - b.v) <= 0.000001 THEN 'match' ELSE 'mismatch' END AS status
+FROM a FULL JOIN b ON a.k = b.k""")
+def full_outer_compare_all(spark, sf):
+    """Every order and line item: orders of the lowest priority have another key on the old side, so both sides have rows without a match."""
+    key = F.when(F.col("o_orderpriority") == "5-LOW", -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    a = table(spark, sf, "orders").select(key.alias("k"), F.round("o_totalprice", 2).alias("v"))
+    b = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"))
+    b = b.agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))), 2).alias("v"))
+    return merge.full_compare(a, b, ["k"], "v")
+
+
 def halves(spark, sf):
     base = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderkey", "o_totalprice")
     return base.where("o_orderkey % 2 = 0"), base.where("o_orderkey % 2 = 1")
@@ -392,6 +407,32 @@ def review_applied_status(spark, sf):
     return review.applied_status(decisions(spark, sf), final, ["doc_id"]).select("doc_id", "decision", "applied_status")
 
 
+REVIEW_ALL_SQL = REVIEW_SQL.replace(
+    "SELECT doc_id, n_chars AS value, doc_id % 4 = 0 AS review_required FROM documents WHERE doc_id % 9 <> 0",
+    "SELECT CASE WHEN lang = 'fr' THEN -doc_id - 1 ELSE doc_id END AS doc_id, n_chars AS value, doc_id % 4 = 0 AS review_required FROM documents",
+)
+
+
+def reviewed_all(spark, sf):
+    """Every document: French ones have another id than their decisions, so both sides have rows without a match."""
+    doc = F.when(F.col("lang") == "fr", -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    rows = table(spark, sf, "documents").select(doc.alias("doc_id"), F.col("n_chars").alias("value"), (F.col("doc_id") % 4 == 0).alias("review_required"))
+    return review.apply_decisions(rows, decisions(spark, sf), ["doc_id"])
+
+
+@query("review_apply_all", REVIEW_ALL_SQL + "SELECT * FROM z")
+def review_apply_all(spark, sf):
+    return reviewed_all(spark, sf).select("doc_id", "status", "final_value", "exported", "origin")
+
+
+@query("review_applied_status_all", REVIEW_ALL_SQL + """
+SELECT d.doc_id, decision, CASE WHEN decision = 'not_applicable' THEN 'not_applicable' WHEN decision = 'reject' THEN 'rejected' WHEN z.doc_id IS NULL THEN 'not_found' WHEN z.exported THEN 'applied' ELSE 'not_exported' END AS applied_status
+FROM d LEFT JOIN (SELECT * FROM z WHERE origin <> 'review_only') z ON d.doc_id = z.doc_id""")
+def review_applied_status_all(spark, sf):
+    final = reviewed_all(spark, sf).where("origin <> 'review_only'")
+    return review.applied_status(decisions(spark, sf), final, ["doc_id"]).select("doc_id", "decision", "applied_status")
+
+
 @query("review_gate_counts", "SELECT count(*) AS items, count(*) FILTER (l.doc_id IS NULL) AS active_items, count(*) FILTER (l.doc_id IS NULL) <= 0 AS ready FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang = 'en'")
 def review_gate_counts(spark, sf):
     return review.gate(table(spark, sf, "documents").where("lang = 'en'").select("doc_id"), decisions(spark, sf), ["doc_id"])
@@ -441,6 +482,13 @@ def contradictory_maps(spark, sf):
     return out.withColumn("concepts", F.array_join("concepts", ","))
 
 
+@query("contradictory_maps_all", "SELECT c_nationkey AS item, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS concepts FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
+def contradictory_maps_all(spark, sf):
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    out = audit.contradictory(rows.select(F.col("c_nationkey").alias("item"), F.col("o_orderstatus").alias("concept")))
+    return out.withColumn("concepts", F.array_join("concepts", ","))
+
+
 @query("duplicate_keys", "SELECT o_custkey, o_orderstatus, count(*) AS rows FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_keys(spark, sf):
     return audit.duplicate_keys(table(spark, sf, "orders"), ["o_custkey", "o_orderstatus"])

@@ -42,6 +42,19 @@ def target_coverage(spark, sf):
     return marts.target_coverage(entities, ["F", "P"], orders.where("o_orderkey % 10 < 5"), orders.where("o_orderkey % 10 = 0"))
 
 
+@query("target_coverage_all", """
+WITH e AS (SELECT CAST(c_custkey AS VARCHAR) AS entity FROM customer), m AS (SELECT unnest(['F', 'P']) AS metric),
+d AS (SELECT CAST(o_custkey AS VARCHAR) AS entity, count(*) AS n FROM orders GROUP BY 1),
+p AS (SELECT CAST(o_custkey AS VARCHAR) AS entity, o_orderstatus AS metric, count(*) AS n, max(year(o_orderdate)) AS y FROM orders GROUP BY 1, 2)
+SELECT e.entity, m.metric, coalesce(d.n, 0) AS documents, coalesce(p.n, 0) AS parsed, CAST(p.y AS INTEGER) AS latest_year, CASE WHEN p.n > 0 THEN 'covered' WHEN d.n > 0 THEN 'document_only' ELSE 'missing' END AS status
+FROM e CROSS JOIN m LEFT JOIN d ON d.entity = e.entity LEFT JOIN p ON p.entity = e.entity AND p.metric = m.metric""")
+def target_coverage_all(spark, sf):
+    """Every order is a document and a parsed row of its status: customers without orders miss both, others may lack a status."""
+    entities = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("entity"))
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("entity"), F.col("o_orderstatus").alias("metric"), F.year("o_orderdate").alias("year"))
+    return marts.target_coverage(entities, ["F", "P"], orders, orders)
+
+
 @query("upsert_keeping_created", """
 WITH a AS (SELECT o_custkey AS k, min(o_orderkey) AS created, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_orderkey) AS created, min(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
 SELECT coalesce(b.k, a.k) AS k, coalesce(a.created, b.created) AS created, coalesce(b.v, a.v) AS v FROM a FULL JOIN b ON a.k = b.k""")

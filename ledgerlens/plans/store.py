@@ -112,6 +112,17 @@ def filing_windows(spark, sf):
     return out.select(F.col("today").cast("string").alias("today"), "name", "target_year", "in_window")
 
 
+@query("filing_windows_all", """
+WITH w(name, sm, sd, em, ed) AS (VALUES ('spring', 6, 1, 8, 15), ('winter', 12, 20, 2, 10)), d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS today FROM orders),
+x AS (SELECT today, name, y, make_date(y, sm, sd) AS a, CASE WHEN make_date(y, em, ed) < make_date(y, sm, sd) THEN make_date(y + 1, em, ed) ELSE make_date(y, em, ed) END AS b FROM d, w, range(1980, 2030) t(y) WHERE y BETWEEN year(today) - 1 AND year(today) + 2)
+SELECT CAST(today AS VARCHAR) AS today, name, CAST(y - 1 AS INTEGER) AS target_year, today BETWEEN a AND b AS in_window FROM x""")
+def filing_windows_all(spark, sf):
+    windows = spark.createDataFrame([("spring", 6, 1, 8, 15), ("winter", 12, 20, 2, 10)], "name string, start_month int, start_day int, end_month int, end_day int")
+    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("today")).distinct()
+    out = schedule.filing_windows(days.crossJoin(F.broadcast(windows)), F.col("today"), ["today"])  # two windows
+    return out.select(F.col("today").cast("string").alias("today"), "name", "target_year", "in_window")
+
+
 @query("refresh_due", "SELECT o_orderkey, strftime(last_day(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH), '%Y-%m') AS target_month, day(o_orderdate) >= 5 AND '1996-03' < strftime(last_day(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH), '%Y-%m') AS due FROM orders")
 def refresh_due(spark, sf):
     today = F.to_date("o_orderdate")
