@@ -137,6 +137,13 @@ def tensors(mel: np.ndarray, step: float) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def clips_of(stored: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What tensors() stored: the clips' starts and ends in seconds, and an array (clips, CLIP, MELS)."""
+    table = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    clips = table["log_mel"].chunk(0).to_numpy_ndarray()
+    return table["start"].to_numpy(), table["end"].to_numpy(), clips
+
+
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, media): each text's UTF-8 bytes, filled up to a positive multiple of UNIT, as a WAV file. A written table."""
 
@@ -181,10 +188,38 @@ def describe(media: DataFrame, passed: list[str], media_col: str = "media", keep
     return source.mapInArrow(run, f"{kinds}, {DESCRIBED}" + ", tensors binary" * keep_tensors)
 
 
+RECALLED = "clips int, clip_seconds double, stored_log_mel array<float>, tensors_sha256 string"
+
+
+def recalled(described: DataFrame, passed: list[str]) -> DataFrame:
+    """The passed columns and what the stored tensors say: clips, their seconds, the mean over their frames (without the filling), and a digest of spans and clips in order."""
+    names = [*passed, *[x.split()[0] for x in RECALLED.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.float64(), pa.list_(pa.float32()), pa.string()]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                rows = []
+                for frames, t in zip(batch.column(len(passed)).to_pylist(), batch.column(len(passed) + 1), strict=True):
+                    start, end, mel = clips_of(t.as_py())
+                    digest = hashlib.sha256(start.tobytes() + end.tobytes() + mel.tobytes()).hexdigest()
+                    rows.append((len(start), float((end - start).sum()), mel.reshape(-1, MELS)[:frames].mean(axis=0), digest))
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.record_batch([*batch.columns[: len(passed)], *cols], names=names)
+
+    source = described.select(*passed, "frames", "tensors")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2])
+    return source.mapInArrow(run, f"{kinds}, {RECALLED}")
+
+
 def op7_audio(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = describe(store(docs), ["doc_id", "n_bytes"])
+    passed = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    described = written(describe(store(docs), passed[:2], keep_tensors=True).drop("mean_log_mel"), "tensors", compression="zstd")
+    out = recalled(described, [*passed, "frames", "segments"])
     heard = F.expr("aggregate(segments, 0D, (s, x) -> s + x.end - x.start)")
-    mel = F.array_join(F.transform("mean_log_mel", lambda x: F.format_number(x.cast("double"), 2)), "|")
-    feature = F.concat_ws(";", F.col("frames").cast("string"), F.size("segments").cast("string"), F.format_number(heard, 3), mel)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    mel = F.array_join(F.transform("stored_log_mel", lambda x: F.format_number(x.cast("double"), 2)), "|")
+    clips = F.concat_ws(":", F.col("clips").cast("string"), F.format_number("clip_seconds", 3), "tensors_sha256")
+    feature = F.concat_ws(";", F.col("frames").cast("string"), F.size("segments").cast("string"), F.format_number(heard, 3), mel, clips)
+    return out.select(*passed, feature.alias("feature"))

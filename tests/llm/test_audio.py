@@ -64,3 +64,24 @@ def test_documents(spark):
         mel = np.concatenate([np.asarray(x).reshape(audio.CLIP, audio.MELS) for x in stored["log_mel"].combine_chunks().storage.to_pylist()])[: r.frames]
         np.testing.assert_allclose(mel.mean(axis=0), r.mean_log_mel, rtol=1e-3, atol=1e-3)
     assert audio.describe(audio.store(docs.where("false")), ["doc_id"]).count() == 0
+
+
+def test_query_feature_is_of_the_stored_clips(spark, tmp_path):
+    """Two payloads with the same frames in another order differ in feature; equal ones agree, over one clip and more."""
+    quiet, loud = "a" * 160 * 200, "az" * 80 * 200
+    texts = {1: quiet + loud, 2: loud + quiet, 3: quiet + loud, 4: "short", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.feature for r in audio.op7_audio(spark, str(tmp_path)).collect()}
+    assert got[1] == got[3] != got[2]
+    for i, text in texts.items():
+        raw = (text or "").encode()
+        samples = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        mel, on, step = audio.features(samples, audio.RATE)
+        count = -(-len(mel) // audio.CLIP)
+        clips = np.full((count * audio.CLIP, audio.MELS), np.log(audio.FLOOR), np.float32)
+        clips[: len(mel)] = mel
+        start = np.arange(count) * audio.CLIP * step
+        end = np.minimum(start + audio.CLIP * step, len(mel) * step)
+        frames, number, _, _, said = got[i].split(";")
+        digest = hashlib.sha256(start.tobytes() + end.tobytes() + clips.tobytes()).hexdigest()
+        assert (int(frames), int(number), said.split(":")[0], said.split(":")[2]) == (len(mel), len(on), str(count), digest)
