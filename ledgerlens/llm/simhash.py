@@ -187,14 +187,16 @@ def op5_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay when one document of each group does: that with the smallest id.
+    """One row of each group of docs stays: that with the smallest id, one without an id only where no row of the group has one.
 
-    Of rows that repeat this id one stays, the first by text. Documents without an id form their groups with the rest;
-    where no row of a group has an id, one of them stays.
+    Groups are of rows and not of ids, so texts that share an id, or have none, stay if they are in different groups. Of
+    a group's rows with the same id the one with the smallest hash of its text stays; rows equal in id and text count once.
     """
-    from pyspark.sql.window import Window
-
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.withColumn("_row", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where("_row = 1").drop("_row")
+    text = F.coalesce(text_col, F.lit(""))
+    key = {"_a": F.xxhash64(id_col, text), "_b": F.crc32(text)}
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *[c.alias(k) for k, c in key.items()])
+    found = near_duplicates(docs.select(row.alias("_row"), text_col), "_row", text_col)
+    keep = found.select("component_id._a", "component_id._b").distinct()
+    # Repeated rows are combined before the shuffle: however often a row is there, no task gets all of them.
+    single = docs.groupBy(*[c.alias(k) for k, c in key.items()]).agg(F.min(F.struct(*docs.columns)).alias("_kept"))
+    return single.join(keep, list(key), "left_semi").select("_kept.*")

@@ -79,3 +79,14 @@ def test_path_in_sorted_order(spark):
     edges = spark.range(0, 500).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(900, 901), (900, 900), (901, 900)], "a long, b long"))
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(501)} | {900: 900, 901: 900}
+
+
+def test_one_row_a_group_stays(spark):
+    """Distinct texts without an id, or under one id, stay each; a row without an id goes where its group has one with an id."""
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [(None, texts[0], "x"), (None, texts[1], "x"), (None, texts[1], "x"), (5, texts[2], "y"), (5, texts[3], "y"), (7, texts[4], "z"), (None, texts[4], "z"), (8, texts[4], "z"), (9, texts[5], "q"), (9, texts[5], "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = simhash.drop_near_duplicates(docs)
+    want = {(None, texts[0], "x"), (None, texts[1], "x"), (5, texts[2], "y"), (5, texts[3], "y"), (7, texts[4], "z"), (9, texts[5], "p")}
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == len(want) and set(got) == want
