@@ -76,8 +76,17 @@ def markdown(df: DataFrame, most: int = 200) -> str:
     return "\n".join("| " + " | ".join(cell(v) for v in r) + " |" for r in lines)
 
 
-def write_xlsx(tables: dict[str, DataFrame], path: str, most: int = 100_000) -> None:
-    """A workbook with a sheet for each table, of at most so many rows, as inline texts and numbers; for exports of small results."""
+#: Rows of a sheet, the header included: fixed by the format.
+SHEET_ROWS = 1_048_576
+
+
+def write_xlsx(tables: dict[str, DataFrame], path: str, most: int = SHEET_ROWS - 1) -> None:
+    """A workbook of all rows of each table, as inline texts and numbers; after so many rows a table goes on in a further sheet, named (2) and so on.
+
+    Rows pass the driver a partition at a time and are not held.
+    """
+    if not 0 < most < SHEET_ROWS:
+        raise ValueError(f"{most} rows a sheet")
     import zipfile
     from xml.sax.saxutils import escape, quoteattr
 
@@ -92,13 +101,35 @@ def write_xlsx(tables: dict[str, DataFrame], path: str, most: int = 100_000) ->
             return f"<c><v>{v!r}</v></c>"
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
 
-    names = list(tables)
+    names: list[str] = []
+
+    def named(table: str, part: int) -> str:
+        """A sheet's name of at most 31 characters that no other sheet has, whatever the case."""
+        taken = {n.lower() for n in names}
+        while True:
+            end = f" ({part})" if part > 1 else ""
+            name = table[: 31 - len(end)] + end
+            if name.lower() not in taken:
+                return name
+            part += 1
+
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for i, df in enumerate(tables.values(), 1):
-            rows = [df.columns, *flat(df).limit(most).collect()]
-            body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows)
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
-        sheets = "".join(f'<sheet name={quoteattr(n[:31])} sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1))
+        for table, df in tables.items():
+            rows, part = flat(df).toLocalIterator(), 1
+            row = next(rows, None)
+            while part == 1 or row is not None:
+                names.append(named(table, part))
+                with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as out:
+                    put = lambda r: out.write(("<row>" + "".join(map(cell, r)) + "</row>").encode())  # noqa: B023, E731
+                    out.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
+                    put(df.columns)
+                    count = 0
+                    while row is not None and count < most:
+                        put(row)
+                        row, count = next(rows, None), count + 1
+                    out.write(b"</sheetData></worksheet>")
+                part += 1
+        sheets = "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1))
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>{sheets}</sheets></workbook>')
         links = "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1))
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">{links}</Relationships>')

@@ -1,4 +1,5 @@
 import json
+import re
 import zipfile
 
 from pyspark.sql import functions as F
@@ -75,3 +76,18 @@ def test_workbooks_manifests_and_aliases(spark, tmp_path):
     assert row.bytes == (land / "z.zip").stat().st_size and len(row.sha256) == 64
     got = readers.aliased(spark.createDataFrame([("", "v"), ("u", "v")], "p string, q string"), {"a": ["p", "q"], "b": ["none"]}).collect()
     assert [tuple(r) for r in got] == [("v", None), ("u", None)]
+
+
+def test_workbook_has_every_row(spark, tmp_path):
+    """A table above a sheet's rows goes on in further sheets, and the old bound of 100,000 rows drops nothing."""
+    sinks.write_xlsx({"t" * 40: spark.range(5), "none": spark.range(0), "T" * 31: spark.range(1)}, str(tmp_path / "w.xlsx"), most=2)
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        book = z.read("xl/workbook.xml").decode()
+        sheets = [z.read(f"xl/worksheets/sheet{i}.xml").decode() for i in range(1, book.count("<sheet ") + 1)]
+    assert [x.count("<row>") - 1 for x in sheets] == [2, 2, 1, 0, 1]
+    assert [v for x in sheets[:3] for v in re.findall("<v>(.*?)</v>", x)] == list("01234")
+    names = re.findall('<sheet name="(.*?)"', book)
+    assert len({n.lower() for n in names}) == 5 and max(map(len, names)) == 31
+    sinks.write_xlsx({"all": spark.range(100_003)}, str(tmp_path / "l.xlsx"))
+    with zipfile.ZipFile(tmp_path / "l.xlsx") as z:
+        assert z.read("xl/worksheets/sheet1.xml").count(b"<row>") == 100_004
