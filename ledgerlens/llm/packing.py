@@ -1,11 +1,14 @@
 """Best-fit packing of token sequences: vector best-fit over tokens, documents and attention cost.
 
-Documents are tokenized and cut into pieces; the first piece of a longer one takes the remainder. What a piece needs of
-a sequence (tokens, one document, length squared) follows from its length alone, so all pieces of one length are a class
-and the driver packs classes: a histogram of at most `capacity` rows comes in, whatever the size of the corpus. Lengths
-are taken from the longest; a piece goes to the sequence, among those it fits in every dimension, with the least
-weighted residual norm (or the largest weighted dot product), and equal sequences are handled together as ranges. This
-is what one-by-one best-fit does, as a sequence that takes a piece stays the best for the next of the same length.
+Documents are tokenized and cut into pieces; the first piece of a longer one takes the remainder. A sequence has three
+capacities: tokens, documents, and attention cost. The cost of a piece is the number of TILE by TILE squares of its causal
+attention, t(t + 1)/2 for t = ceil(length / TILE), so many short pieces cost more than their tokens say and all three
+capacities decide. What a piece needs follows from its length alone, so all pieces of one length are a class and the
+driver packs classes: a histogram of at most `capacity` rows comes in, whatever the size of the corpus. Lengths are
+taken from the longest; a piece goes to the sequence, among those it fits in every dimension, with the least weighted
+residual norm (or the largest weighted dot product), equal ones by their number. Equal sequences are handled together as
+ranges: with the norm this is what one-by-one best-fit does, as a sequence that takes a piece stays the best for the next
+of the same length; with the dot product a class stays with a sequence while it fits.
 
 The plan (length, ranks, sequences, places) has a size bounded by the capacity, so it is broadcast. Pieces are ranked
 within their length in chunks and find sequence and offset by rank.
@@ -147,14 +150,20 @@ class Limits:
     """Capacities of a sequence, and what each dimension weighs when sequences are compared."""
 
     tokens: int = CAPACITY
-    documents: int = CAPACITY
-    cost: int = CAPACITY**2
+    documents: int = 40
+    cost: int = 48
     weights: tuple[float, float, float] = (1.0, 0.1, 0.1)
     rule: str = "norm"  # or "dot"
+    tile: int = 128
 
     def caps(self) -> np.ndarray:
         return np.array([self.tokens, self.documents, self.cost], np.int64)
 
+    def need(self, length: int) -> np.ndarray:
+        """What a piece takes of each capacity: its tokens, one document, the tiles of its causal attention."""
+        tiles = -(-length // self.tile)
+        return np.array([length, 1, tiles * (tiles + 1) // 2], np.int64)
+
 
 @dataclass
 class Plan:
@@ -169,7 +178,7 @@ def best_fit(histogram: dict[int, int], limits: Limits) -> Plan:
     caps, weights, plan = limits.caps(), np.array(limits.weights), Plan()
     left, first, count = np.empty((0, 3), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     for length in sorted(histogram, reverse=True):
-        need, n, rank = np.array([length, 1, length * length], np.int64), histogram[length], 0
+        need, n, rank = limits.need(length), histogram[length], 0
         if (need > caps).any():
             raise ValueError(f"a piece of {length} tokens fits into no sequence")
         fits = np.flatnonzero((left >= need).all(axis=1))
