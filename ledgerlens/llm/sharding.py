@@ -2,9 +2,9 @@
 
 Groups are sorted by size and enter the shard with the tightest remaining capacity that still takes them, found in a
 balanced tree; a shard opens when none does. Groups of one size are handled together, so the driver needs the histogram
-of group sizes only. Sizes count in units of total/(shards * UNITS) bytes (of one byte up to some 10 MB a shard), which
-bounds the distinct sizes of a corpus of any size. Given a number of shards instead of a capacity, the least capacity is
-searched with which they suffice.
+of group sizes only, in exact bytes. A corpus of T bytes has at most sqrt(2T) distinct sizes (1 + 2 + ... + n <= T), and
+no more than its longest text has bytes plus the groups of copies: 0.25 million rows of the driver's memory at 30 GB.
+Given a number of shards instead of a capacity, the least capacity is searched with which they suffice, by halving.
 
 Groups are ranked within their size in chunks and find their shard by rank; documents find it through their group, and
 their slot by a rank within the shard, again in chunks.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import rank_within, written
 
-SHARDS, UNITS, CHUNK_ROWS = 8, 4_000_000, 10_000
+SHARDS, CHUNK_ROWS = 8, 10_000
 
 
 class Tree:
@@ -110,15 +110,12 @@ def shard(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = N
     """
     spark = docs.sparkSession
     keyed = written(keyed_documents(docs, id_col, text_col), "keyed")
-    total = keyed.agg(F.sum("size")).first()[0]
-    unit = max(1, (total or 0) // ((shards or 1 + total // capacity) * UNITS))
-    groups = keyed.groupBy("_key").agg(F.ceil(F.sum("size") / unit).alias("units"))
-    groups = written(groups, "groups")
-    histogram = {r["units"]: r["n"] for r in groups.groupBy("units").agg(F.count("*").alias("n")).collect()}  # distinct sizes: bounded by UNITS
-    plan, _ = best_fit_decreasing(histogram, capacity // unit) if capacity else least_capacity(histogram, shards)
-    placed = spark.createDataFrame(plan, "_units long, _from long, _to long, shard int")
-    ranked = rank_within(groups, "units", ["_key"], chunk_rows, "_rank")
-    on = (F.col("units") == F.col("_units")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+    groups = written(keyed.groupBy("_key").agg(F.sum("size").alias("bytes")), "groups")
+    histogram = {r["bytes"]: r["n"] for r in groups.groupBy("bytes").agg(F.count("*").alias("n")).collect()}  # distinct sizes: see above
+    plan, _ = best_fit_decreasing(histogram, capacity) if capacity else least_capacity(histogram, shards)
+    placed = spark.createDataFrame(plan, "_bytes long, _from long, _to long, shard int")
+    ranked = rank_within(groups, "bytes", ["_key"], chunk_rows, "_rank")
+    on = (F.col("bytes") == F.col("_bytes")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     homes = ranked.join(placed, on).select("_key", "shard")
     out = written(keyed.join(homes, "_key").drop("_key"), "placed")
     return rank_within(out, "shard", [id_col, "text_crc32"], chunk_rows, "slot")
