@@ -1,12 +1,16 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
-A fingerprint of 64 bits is embedded as the bit counts of its segments; the Manhattan distance of two embeddings
-never exceeds the Hamming distance of the fingerprints, so it may reject a pair but never lose one.
-
-Grid: the bits form 7 blocks. Two fingerprints that differ in at most 4 bits agree wholly on 3 blocks at least, so for
-each of the 35 choices of 3 blocks these are cut into segments of one bit (a bit is its own count, cells are of width
-one, and 27 or 28 bits share a cell), and the four other blocks are one segment each. Fingerprints of one cell are range
-joined: Manhattan distance of the counts of the other blocks up to 4, then the exact Hamming distance.
+Embedding: the 64 bits form 32 segments of two neighbouring bits; a fingerprint becomes the vector of their bit counts
+(0, 1 or 2). A flipped bit moves one count by one, so the Manhattan distance of two embeddings never exceeds the Hamming
+distance of the fingerprints: it may reject a pair but never lose one. Counts are kept in unary (00, 01, 11), which makes
+the Manhattan distance the number of differing bits of two embeddings.
+
+Grid range join: the segments form blocks of neighbours. Embeddings within Manhattan distance 4 have equal counts in all
+but 4 blocks at least, so each choice of the other blocks is a grid over their counts, and a pair within the distance
+shares a cell of one choice or more. In a cell the pairs within Manhattan distance 4 over all segments are candidates;
+the exact Hamming distance decides. There are 8 blocks (70 choices), and more where cells would hold above 4 rows on
+average: a finer grid gives the same links. Wider segments say too little: on 236 thousand fingerprints of 0.5 GB, with
+8 blocks, segments of 2 bits give 0.5 million pairs that share a cell, of 4 bits 60 million, of 8 bits 2850 million.
 
 Cells stream through tasks in sorted order. Inside a cell a search from a fingerprint takes away all it reaches, so that
 a cell yields a spanning forest, at most one link a fingerprint, and never all pairs. Cells above `cell_rows` leave the
@@ -24,19 +28,44 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
 
-WIDTHS = (10, 9, 9, 9, 9, 9, 9)
-DISTANCE = 4
+SEGMENTS, DISTANCE = 32, 4
+#: Blocks of segments, and how many rows a cell holds on average before there are more.
+BLOCKS, MOST_BLOCKS, CELL_MEAN = 8, 20, 4
+LOW, HIGH = 0x5555555555555555, 0xAAAAAAAAAAAAAAAA
+
+
+def embedded(fps: np.ndarray) -> np.ndarray:
+    """The bit counts of the segments of two bits, in unary."""
+    one = np.uint64(1)
+    return ((fps | fps >> one) & np.uint64(LOW)) | (fps & fps << one & np.uint64(HIGH))
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def embedding(fp: Column) -> Column:
+    """embedded() as an expression."""
+    low = fp.bitwiseOR(F.shiftrightunsigned(fp, 1)).bitwiseAND(F.lit(LOW))
+    return low.bitwiseOR(fp.bitwiseAND(F.shiftleft(fp, 1)).bitwiseAND(F.lit(signed(HIGH))))
 
 
-def block_masks(widths: tuple[int, ...] = WIDTHS) -> list[int]:
-    """One mask of neighbouring bits for each block, from the lowest bit."""
-    starts = np.cumsum((0, *widths[:-1])).tolist()
-    return [((1 << w) - 1) << s for w, s in zip(widths, starts, strict=True)]
+def grids(blocks: int, distance: int = DISTANCE) -> list[int]:
+    """One mask over the embedding for each choice of the blocks that a cell is made of."""
+    cuts = [SEGMENTS * i // blocks for i in range(blocks + 1)]
+    masks = [((1 << 2 * (b - a)) - 1) << 2 * a for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [sum(c) for c in combinations(masks, blocks - distance)]
+
+
+def blocks_for(fingerprints: int) -> int:
+    """The fewest blocks with which a cell holds CELL_MEAN rows at most, were bits fair; two fair counts agree with probability 3/8."""
+    fits = (b for b in range(BLOCKS, MOST_BLOCKS) if fingerprints <= CELL_MEAN * (8 / 3) ** (SEGMENTS * (b - DISTANCE) / b))
+    return next(fits, MOST_BLOCKS)
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -72,27 +101,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 class Cells:
     """Spanning forests of the links inside grid cells, for cells that come as sorted runs of rows."""
 
-    def __init__(self, distance: int, limit: int | None):
-        self.distance, self.limit, self.blocks = distance, limit, block_masks()
-        self.free = [[m for i, m in enumerate(self.blocks) if i not in c] for c in combinations(range(len(WIDTHS)), len(WIDTHS) - distance)]
-
-    def counts(self, fps: np.ndarray, choice: int) -> np.ndarray:
-        """Bit counts of the segments that the cell leaves open: one row a fingerprint."""
-        return np.stack([np.bitwise_count(fps & np.uint64(m)) for m in self.free[choice]], axis=1).astype(np.int8)
+    SQUARE = 128  # cells up to this size compare all their fingerprints at once
 
-    def near(self, one: np.uint64, at: np.ndarray, fps: np.ndarray, emb: np.ndarray) -> np.ndarray:
-        """Which fps are linked to one: those within the bound of the embedding, verified exactly."""
-        out = np.abs(emb - at).sum(axis=1) <= self.distance
-        out[out] = np.bitwise_count(fps[out] ^ one) <= self.distance
-        return out
+    def __init__(self, distance: int, limit: int | None):
+        self.distance, self.limit = distance, limit
 
-    def forest(self, fps: np.ndarray, choice: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        links, left, emb = [], fps, self.counts(fps, choice)
+    def forest(self, fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        links, left, emb = [], fps, embedded(fps)
+        if len(left) <= self.SQUARE:
+            near = np.argwhere(np.triu(np.bitwise_count(emb[:, None] ^ emb) <= self.distance, 1))
+            a, b = left[near[:, 0]], left[near[:, 1]]
+            hit = np.bitwise_count(a ^ b) <= self.distance
+            if hit.sum() < len(left):
+                return [(a[hit], b[hit])]
         while len(left) > 1:
             todo, left, emb = [(left[0], emb[0])], left[1:], emb[1:]
             while todo and len(left):
                 one, at = todo.pop()
-                hit = self.near(one, at, left, emb)
+                hit = np.bitwise_count(emb ^ at) <= self.distance  # the bound of the embedding
+                hit[hit] = np.bitwise_count(left[hit] ^ one) <= self.distance  # exact
                 if hit.any():
                     links.append((np.full(hit.sum(), one), left[hit]))
                     todo.extend(zip(left[hit], emb[hit], strict=True))
@@ -100,35 +127,33 @@ class Cells:
         return links
 
     def links(self, rows: np.ndarray) -> pa.RecordBatch:
-        """The links of whole runs: pairs at once for each choice, larger runs by forest()."""
+        """The links of whole runs: all runs of two at once, larger ones by forest()."""
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        starts = np.concatenate(([0], np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1, [rows.shape[1]]))
-        size, fps = np.diff(starts), rows[3].view(np.uint64)
-        two = starts[:-1][size == 2]
-        for choice in np.unique(rows[0, two]):
-            at = two[rows[0, two] == choice]
-            a, b = fps[at], fps[at + 1]
-            low = np.abs(self.counts(a, choice) - self.counts(b, choice)).sum(axis=1) <= self.distance
+        starts = np.concatenate(([0], np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1, [rows.shape[1]]))
+        size, fps = np.diff(starts), rows[2].view(np.uint64)
+        at = starts[:-1][size == 2]
+        a, b = fps[at], fps[at + 1]
+        for hit in (lambda: np.bitwise_count(embedded(a) ^ embedded(b)) <= self.distance, lambda: np.bitwise_count(a ^ b) <= self.distance):
+            low = hit()
             a, b = a[low], b[low]
-            hit = np.bitwise_count(a ^ b) <= self.distance
-            found.append((a[hit], b[hit]))
+        found.append((a, b))
         for k in np.flatnonzero(size > 2):
-            found += self.forest(fps[starts[k] : starts[k + 1]], int(rows[0, starts[k]]))
-        a, b = (np.concatenate([x[i] for x in found] or [np.empty(0, np.uint64)]).view(np.int64) for i in (0, 1))
-        return pa.record_batch([pa.array(np.full(len(a), -1)), pa.array(np.zeros(len(a), np.int64)), pa.array(a), pa.array(b)], names=self.OUT)
+            found += self.forest(fps[starts[k] : starts[k + 1]])
+        a, b = (np.concatenate([x[i] for x in found]).view(np.int64) for i in (0, 1))
+        return pa.record_batch([pa.array(np.zeros(len(a), bool)), pa.array(np.zeros(len(a), np.int64)), pa.array(a), pa.array(b)], names=self.OUT)
 
     def passed(self, rows: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(rows[0]), pa.array(rows[2]), pa.array(rows[3]), pa.array(rows[3])], names=self.OUT)
+        return pa.record_batch([pa.array(np.ones(rows.shape[1], bool)), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[2])], names=self.OUT)
 
-    OUT = ["choice", "cell", "a", "b"]
-    SCHEMA = "choice bigint, cell bigint, a bigint, b bigint"
+    OUT = ["open", "cell", "a", "b"]
+    SCHEMA = "open boolean, cell bigint, a bigint, b bigint"
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (choice, part, cell, fp) sorted in that order in; links (choice -1, a, b) and untouched rows of cells above the limit out."""
-        held, over = np.empty((4, 0), np.int64), False  # the last run, which may go on; if over, one row of it that is out already
+        """Rows (part, cell, fp) sorted in that order in; links (a, b) and the untouched (open) rows of cells above the limit out."""
+        held, over = np.empty((3, 0), np.int64), False  # the last run, which may go on; if over, one row of it that is out already
         for batch in batches:
-            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])], axis=1)
-            new = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
+            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])], axis=1)
+            new = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
             first, last = (int(new[0]), int(new[-1])) if len(new) else (rows.shape[1], 0)
             if over:
                 yield self.passed(rows[:, 1:first])
@@ -145,27 +170,25 @@ class Cells:
             yield self.links(held)
 
 
-def similar_links(fps: DataFrame, cell_rows: int = 20_000) -> DataFrame:
+def similar_links(fps: DataFrame, cell_rows: int = 20_000, blocks: int | None = None) -> DataFrame:
     """(a, b): links among the distinct fingerprints in fps.fp that connect all that lie within DISTANCE bits.
 
     Every link holds, and whatever is linked is connected by the links returned; within dense groups a spanning part
-    of the links stands for all of them.
+    of the links stands for all of them. A cell is named by a hash of its choice and counts; cells of one name would be
+    compared as one, and the exact distance still decides.
     """
-    masks = block_masks()
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    choices = [sum(masks[i] for i in c) for c in combinations(range(len(WIDTHS)), len(WIDTHS) - DISTANCE)]
-    cells = F.array(*[F.struct(F.lit(k).cast("long").alias("choice"), F.lit(0).cast("long").alias("part"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("cell")) for k, m in enumerate(choices)])
-    keyed = fps.select("fp", F.explode(cells).alias("c")).select("c.choice", "c.part", "c.cell", "fp")
-    order = ["choice", "part", "cell"]
-    first = keyed.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(Cells(DISTANCE, cell_rows).run, Cells.SCHEMA)
+    emb = F.col("_e")
+    cells = F.array(*[F.xxhash64(F.lit(k), emb.bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(grids(blocks or blocks_for(fps.count())))])
+    keyed = fps.select("fp", embedding(F.col("fp")).alias("_e")).select(F.lit(0).cast("long").alias("part"), F.explode(cells).alias("cell"), "fp")
+    first = keyed.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(Cells(DISTANCE, cell_rows).run, Cells.SCHEMA)
     first = written(first, "links")
-    links, over = first.where("choice = -1").select("a", "b"), first.where("choice >= 0").select("choice", "cell", F.col("a").alias("fp"))
+    links, over = first.where("NOT open").select("a", "b"), first.where("open").select("cell", F.col("a").alias("fp"))
     if over.limit(1).count():
-        parts = over.groupBy("choice", "cell").agg(F.ceil(F.count("*") / cell_rows).alias("parts"))
-        placed = over.join(parts, ["choice", "cell"]).withColumn("own", F.pmod(F.xxhash64("fp"), "parts"))
+        parts = over.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).alias("parts"))
+        placed = over.join(parts, "cell").withColumn("own", F.pmod(F.xxhash64("fp"), "parts"))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-        paired = placed.withColumn("other", other).select("choice", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("part"), "cell", "fp")
-        more = paired.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(Cells(DISTANCE, None).run, Cells.SCHEMA)
+        paired = placed.withColumn("other", other).select((F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("part"), "cell", "fp")
+        more = paired.repartition("part", "cell").sortWithinPartitions("part", "cell", "fp").mapInArrow(Cells(DISTANCE, None).run, Cells.SCHEMA)
         links = links.unionByName(written(more.select("a", "b").distinct(), "links"))
     return links
 

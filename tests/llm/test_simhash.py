@@ -50,8 +50,8 @@ def test_links_connect_what_brute_force_connects(spark):
     rows = [(int(np.uint64(x).view(np.int64)),) for x in fps]
     from ledgerlens.llm.common import components
 
-    for limit in (20_000, 3):
-        links = simhash.similar_links(spark.createDataFrame(rows, "fp long"), limit)
+    for limit, blocks in ((20_000, None), (3, None), (20_000, 11), (20_000, 5)):
+        links = simhash.similar_links(spark.createDataFrame(rows, "fp long"), limit, blocks)
         got = {r.node: r.root for r in components(links).collect()}
         as_unsigned = {r[0]: int(np.int64(r[0]).view(np.uint64)) for r in rows}
         classes = {}
@@ -90,3 +90,53 @@ def test_one_row_a_group_stays(spark):
     want = {(None, texts[0], "x"), (None, texts[1], "x"), (5, texts[2], "y"), (5, texts[3], "y"), (7, texts[4], "z"), (9, texts[5], "p")}
     got = [tuple(r) for r in kept.collect()]
     assert kept.columns == docs.columns and len(got) == len(want) and set(got) == want
+
+
+def test_embedding_is_a_lower_bound(spark):
+    """Unary counts of two-bit segments, in numpy and as an expression; their distance is the Manhattan distance of the counts."""
+    rng = random.Random(9)
+    fps = [0, (1 << 64) - 1, 1 << 63, *[rng.getrandbits(64) for _ in range(300)]]
+    emb = simhash.embedded(np.array(fps, np.uint64))
+    counts = [[(x >> 2 * i & 3).bit_count() for i in range(32)] for x in fps]
+    assert [[(int(e) >> 2 * i & 3).bit_count() for i in range(32)] for e in emb] == counts
+    for i, j in itertools.combinations(range(60), 2):
+        manhattan = sum(abs(a - b) for a, b in zip(counts[i], counts[j], strict=True))
+        assert (int(emb[i]) ^ int(emb[j])).bit_count() == manhattan <= (fps[i] ^ fps[j]).bit_count()
+    df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long").select(simhash.embedding(simhash.F.col("fp")).alias("e"))
+    assert [r.e for r in df.collect()] == emb.view(np.int64).tolist()
+
+
+@pytest.mark.parametrize("blocks", [5, 8, 9, 13])
+def test_a_close_pair_shares_a_cell(blocks):
+    rng, masks = random.Random(2), simhash.grids(blocks)
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), 4):
+            y ^= 1 << b
+        a, b = (int(e) for e in simhash.embedded(np.array([x, y], np.uint64)))
+        assert any(a & m == b & m for m in masks)
+
+
+def test_dense_cells_give_a_forest():
+    """A cell of many close fingerprints yields fewer links than rows, by either way, and connects them."""
+    base = random.Random(4).getrandbits(64)
+    fps = np.array(sorted({base ^ (1 << i) ^ (1 << j) for i in range(0, 40, 2) for j in range(20)}), np.uint64)
+    for square in (0, 10_000):
+        cells = simhash.Cells(4, None)
+        cells.SQUARE = square
+        links = [p for a, b in cells.forest(fps) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(links) == len(fps) - 1 and {x for p in links for x in p} == set(fps.tolist())
+
+
+def test_blocks_follow_the_fingerprints():
+    n = [simhash.blocks_for(10**k) for k in range(13)]
+    assert n[0] == 8 and n == sorted(n) and n[6] == 8 and n[8] == 9 and n[12] <= simhash.MOST_BLOCKS
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id)
+    fps = [brute_fp(r.text) for r in rows]
+    want = {(r.doc_id, f"{f:016x}", rows[c].doc_id) for r, f, c in zip(rows, fps, brute_components(fps), strict=True)}
+    assert {tuple(r) for r in simhash.op5_simhash(spark, sf).collect()} == want
