@@ -78,10 +78,32 @@ def test_query_feature_is_of_the_stored_clips(spark, tmp_path):
         samples = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         mel, on, step = audio.features(samples, audio.RATE)
         count = -(-len(mel) // audio.CLIP)
-        clips = np.full((count * audio.CLIP, audio.MELS), np.log(audio.FLOOR), np.float32)
+        clips = np.full((count * audio.CLIP, audio.MELS), np.log(audio.FLOOR), np.float16)
         clips[: len(mel)] = mel
         start = np.arange(count) * audio.CLIP * step
         end = np.minimum(start + audio.CLIP * step, len(mel) * step)
-        frames, number, _, _, said = got[i].split(";")
+        frames, number, heard, means, said = got[i].split(";")
+        assert float(heard) == pytest.approx(sum(b - a for a, b in on), abs=1e-3)
+        np.testing.assert_allclose([float(x) for x in means.split("|")], clips[: len(mel)].astype(np.float64).mean(axis=0), atol=0.006)
         digest = hashlib.sha256(start.tobytes() + end.tobytes() + clips.tobytes()).hexdigest()
         assert (int(frames), int(number), said.split(":")[0], said.split(":")[2]) == (len(mel), len(on), str(count), digest)
+
+
+def test_log_mel_by_its_definition():
+    """Frame by frame and bin by bin: mean taken off, Hann window, discrete Fourier transform, triangles on the mel scale, log."""
+    rng = np.random.default_rng(2)
+    samples = rng.integers(0, 256, 1500, dtype=np.uint8)
+    mel, _, step = audio.features(samples.tobytes(), audio.RATE)
+    x, own = audio.resample((samples - 128.0) / 128), audio.RATE // 2
+    to_mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (to_mel(own / 2) * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    assert step == audio.HOP / own and len(mel) == (len(x) - audio.WINDOW) // audio.HOP + 1
+    for k in (0, 3, len(mel) - 1):
+        frame = x[k * audio.HOP : k * audio.HOP + audio.WINDOW]
+        shaped = [(v - frame.mean()) * (0.5 - 0.5 * np.cos(2 * np.pi * i / (audio.WINDOW - 1))) for i, v in enumerate(frame)]
+        power = [abs(sum(v * np.exp(-2j * np.pi * b * i / audio.FFT) for i, v in enumerate(shaped))) ** 2 for b in range(audio.FFT // 2 + 1)]
+        for m in range(audio.MELS):
+            low, mid, high = edges[m : m + 3]
+            weight = lambda f: max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid)))  # noqa: B023, E731
+            want = np.log(sum(p * weight(b * own / audio.FFT) for b, p in enumerate(power)) + audio.FLOOR)
+            assert mel[k, m] == pytest.approx(want, abs=1e-4)
