@@ -16,17 +16,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Only where neither is set, as in tests on one machine, is a folder of our own made and set.
+    Only where neither is set and Spark runs in one process, as in tests, is a folder of our own made and set; on a
+    cluster, whose executors would not see it, this fails.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            folder = held.get()
-        else:
-            folder = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
-            spark.sparkContext.setCheckpointDir(folder)
-            folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
+        if not held.isDefined():
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ledgerlens-"))
+            held = context._jsc.sc().getCheckpointDir()
+        folder = held.get()
     return folder.rstrip("/")
 
 
@@ -39,7 +41,22 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, short lineage, survives lost executors."""
     path = shared_path(df.sparkSession, label)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() from which nothing is read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, a written table of few short columns, marked for broadcast if it has at most so many rows; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def rank_within(df: DataFrame, key: str, order: list[str], chunk_rows: int, out: str) -> DataFrame:
@@ -64,29 +81,35 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks a node to its smallest neighbour, follows three doublings of those pointers and contracts the
     edges, so that even a path in sorted order shrinks eightfold. Minima are combined before the shuffle; loops and
-    repeated edges go after each contraction. Rounds are written tables; no edge or label comes to the driver.
+    repeated edges go after each contraction. Rounds are written tables, deleted when the next one stands; no edge or
+    label comes to the driver.
     """
     ends = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ends = written(ends, "edges")
     mapping = None
     while ends.limit(1).count():
         both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
+        parent = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")), "parents")
         for _ in range(3):
-            parent = written(parent, "parents")
             above = parent.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
-            parent = parent.join(above, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up"))
-        parent = written(parent, "parents")
+            further = written(parent.join(above, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up")), "parents")
+            discard(parent)
+            parent = further
         left = parent.select(F.col("node").alias("a"), F.col("up").alias("ua"))
         right = parent.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         moved = ends.join(left, "a").join(right, "b").where("ua <> ub")
-        ends = written(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+        contracted = written(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+        discard(ends)
+        ends = contracted
         if mapping is None:
-            mapping = parent.withColumnRenamed("up", "root")
+            mapping = written(parent.withColumnRenamed("up", "root"), "roots")
         else:
             step = parent.select(F.col("node").alias("root"), F.col("up").alias("_up"))
-            mapping = mapping.join(step, "root", "left").select("node", F.coalesce("_up", "root").alias("root"))
-        mapping = written(mapping, "roots")
+            longer = written(mapping.join(step, "root", "left").select("node", F.coalesce("_up", "root").alias("root")), "roots")
+            discard(mapping)
+            mapping = longer
+        discard(parent)
+    discard(ends)
     if mapping is None:
         kind = edges.schema["a"].dataType.simpleString()
         return edges.sparkSession.createDataFrame([], f"node {kind}, root {kind}")

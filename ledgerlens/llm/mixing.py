@@ -5,7 +5,7 @@ stops at `epochs` times its source's size and the excess is shared again by weig
 sums give the level at which this ends, without iterating.
 
 Blocks: the words of a source are dealt into shards by a hash of its documents, put in seeded order inside a shard and
-cut into blocks of equal length (the last one may be shorter). Blocks go to sources by the highest quotients
+cut into blocks of equal length (the last one may be shorter). The hash is of id and text, so rows without an id are spread. Blocks go to sources by the highest quotients
 target/(2s - 1); only the seats near the common divisor are listed, about three a source, never one row a block. The
 quota of a source goes to its shards in the same way, by their sizes: integer quotas for each shard.
 
@@ -85,8 +85,12 @@ def plan(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_docs: int = SHA
     placed = placed.withColumn("shard", F.pmod("_hash", "shards"))
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), *[F.first(c).alias(c) for c in ("shards", "source_size", "target", "source_quota")])
     shards = apportion(shards, ["source"], "shard_size", "source_quota", ["shard"], "quota")
-    shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / block_words))
-    return shards.withColumn("quota", F.least(F.col("quota"), epochs * F.col("blocks"))).drop("source_quota")
+    shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / block_words)).withColumn("_kept", F.least(F.col("quota"), epochs * F.col("blocks")))
+    # Seats above a shard's epochs, a few from rounding, go to the next shards of the source that have room.
+    own, ahead = Window.partitionBy("source"), Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    room = epochs * F.col("blocks") - F.col("_kept")
+    rest = F.sum(F.col("quota") - F.col("_kept")).over(own) - F.coalesce(F.sum(room).over(ahead), F.lit(0))
+    return shards.withColumn("quota", F.col("_kept") + F.least(room, F.greatest(rest, F.lit(0)))).drop("source_quota", "_kept")
 
 
 def mixed(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
@@ -98,7 +102,7 @@ def mixed(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_docs: int = SH
     shards = written(plan(sized, block_words, shard_docs, epochs), "shards")
     count = shards.select(F.col("source").alias("_s"), "shards").distinct()
     dealt = sized.join(count, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("shard", F.pmod("_hash", "shards")).drop("shards")
-    before = Window.partitionBy("source", "shard").orderBy(F.xxhash64("_o", F.lit(seed)), "_o", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source", "shard").orderBy(F.xxhash64("_o", "_hash", F.lit(seed)), "_o", "_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
     own = shards.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "source_size", "target", "shard_size", "blocks", "quota")
     out = dealt.join(own, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h"))).drop("_s", "_h")
@@ -126,7 +130,7 @@ def words_before(place: Column, block_words: int) -> Column:
 
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("_o", F.col(id_col)).withColumn("_hash", F.xxhash64("_o"))
+    return docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, F.coalesce(text_col, F.lit(""))).alias("_hash")).withColumn("_o", F.col(id_col))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:

@@ -7,7 +7,8 @@ its fetch time: the last state at or before it. So an entry never acts on captur
 was withdrawn.
 
 The join is on the key, with the time as range; intervals of a list and key do not overlap, so a capture's key meets at
-most one interval of a list. Captures come with few columns. A hot host makes a skewed key whose large side Spark's
+most one interval of a list. An address makes keys only down to the deepest one that is listed, so that a very long
+address costs no more than the list asks for. Captures come with few columns. A hot host makes a skewed key whose large side Spark's
 adaptive join splits; repeated entries go before the intervals are made.
 
 Addresses are compared in lower case without scheme, user, port, query or fragment. Null addresses or times match
@@ -23,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)"
 
 
@@ -31,13 +32,15 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
-def keys_of(url: Column) -> Column:
-    """The distinct keys under which an address may be listed: host and parent domains, and prefixes host/a, host/a/b ..."""
+def keys_of(url: Column, labels: int, steps: int) -> Column:
+    """The distinct keys under which an address may be listed: host and parent domains of at most `labels` labels, and prefixes host/a, host/a/b ... of at most `steps` steps."""
     host, path = host_of(url), F.regexp_extract(url, PATH, 1)
-    labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    steps = F.filter(F.split(F.lower(path), "/"), lambda s: s != "")
-    prefixes = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/"))))
+    parts = F.split(host, r"\.")
+    n = F.size(parts)
+    parents = F.transform(F.sequence(F.least(F.lit(2), n), F.least(n, F.greatest(F.lit(labels), F.lit(1)))), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "."))
+    parents = F.when(F.least(F.lit(2), n) <= F.greatest(F.lit(labels), F.lit(1)), parents).otherwise(F.array().cast("array<string>"))
+    taken = F.slice(F.filter(F.split(F.lower(path), "/"), lambda s: s != ""), 1, max(steps, 0))
+    prefixes = F.when(F.size(taken) > 0, F.transform(F.sequence(F.lit(1), F.size(taken)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(taken, F.lit(1), i), "/"))))
     return F.array_distinct(F.filter(F.concat(parents, F.coalesce(prefixes, F.array().cast("array<string>"))), lambda k: k != ""))
 
 
@@ -54,8 +57,10 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
     """(id_col, url_col, at_col, lists, keys, blocked): the lists, sorted, on which the capture stands at its fetch time, and the keys that put it there."""
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(at_col).alias("_at"))
-    asked = rows.distinct().withColumn("key", F.explode(keys_of(F.col("_url"))))
-    spans = intervals(entries).withColumnRenamed("key", "_key")
+    spans = written(intervals(entries).withColumnRenamed("key", "_key"), "intervals")
+    host, path = F.split(F.split_part("_key", F.lit("/"), F.lit(1)), r"\."), F.split("_key", "/")
+    deepest = spans.agg(F.max(F.size(host)), F.max(F.size(path) - 1)).first()
+    asked = rows.distinct().withColumn("key", F.explode(keys_of(F.col("_url"), deepest[0] or 0, deepest[1] or 0)))
     holds = (F.col("key") == F.col("_key")) & (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
     hits = asked.join(spans, holds).groupBy(*[F.col(c).alias(f"{c}h") for c in ("_id", "_url", "_at")]).agg(F.array_sort(F.collect_set("list")).alias("lists"), F.array_sort(F.collect_set("key")).alias("keys"))
     same = F.col("_id").eqNullSafe(F.col("_idh")) & F.col("_url").eqNullSafe(F.col("_urlh")) & F.col("_at").eqNullSafe(F.col("_ath"))
@@ -98,7 +103,7 @@ def op3_url_filter(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH u AS (
   SELECT page_id, url, 1704067200 + (page_id * 7919) % 31536000 AS fetched_at,
-    lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)) AS host,
     lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1)) AS path
   FROM pages),
 p AS (SELECT *, string_split(host, '.') AS labels, [s for s in string_split(path, '/') if s <> ''] AS steps FROM u),

@@ -96,3 +96,42 @@ def test_draw_has_the_taken_words(spark):
     targets = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
     assert all(abs(words.get(s, 0) - t) <= 8 * 8 for s, t in targets.items()) and sum(words.values()) == pytest.approx(sum(taken.values()), abs=64)
     assert mixing.draw(docs.where("false")).count() == 0
+
+
+def test_taken_words_by_listing_the_blocks(spark):
+    """Documents tile their shard in seeded order; a block is taken q div n times, and (i r + seed) mod n < r once more; quotas are the apportionment."""
+    how = {"block_words": 8, "shard_docs": 50}
+    docs = documents(spark)
+    got = mixing.mix(docs, **how).collect()
+    shards, sources = {}, {}
+    for r in got:
+        shards.setdefault((r.source, r.shard), []).append(r)
+        sources[r.source] = (r.source_size, r.target)
+    names = sorted(sources, key=lambda s: (s is None, s))
+    blocks = int(sum(t for _, t in sources.values()) / 8 + 0.5)
+    source_quota = dict(zip(names, sainte_lague([sources[s][1] for s in names], blocks), strict=True))
+    held, whole = {}, mixing.plan(mixing.sized_documents(docs), **how).collect()
+    for r in whole:
+        held[r.source, r.shard] = (r.shard_size, r.blocks, r.quota)
+    for s in names:
+        own = sorted((k for k in held if k[0] == s), key=lambda k: k[1])
+        plain = sainte_lague([held[k][0] for k in own], source_quota[s])
+        room = [3 * held[k][1] for k in own]
+        # No seat is lost while a shard has room; sources whose quotients tie (targets are exact multiples here) may differ by one.
+        assert abs(sum(held[k][2] for k in own) - min(sum(plain), sum(room))) <= 1
+        assert all(held[k][2] >= min(p, c) - 1 for k, p, c in zip(own, plain, room, strict=True))
+    assert sum(q for *_, q in held.values()) == blocks
+    for key, rows in shards.items():
+        size, n, q = held[key]
+        rows.sort(key=lambda r: (r.start, r.size))
+        assert [r.start for r in rows] == [sum(x.size for x in rows[:i]) for i in range(len(rows))] and sum(r.size for r in rows) == size
+        times = [q // n + ((i * (q % n) + rows[0].offset) % n < q % n) for i in range(n)] if n else []
+        assert not n or sum(times) == q
+        for r in rows:
+            assert (r.blocks, r.quota) == (n, q) and r.taken == sum(times[w // 8] for w in range(r.start, r.start + r.size))
+
+
+def test_rows_without_an_id_are_spread(spark):
+    docs = spark.createDataFrame([(None, f"text {i} of many", "a") for i in range(400)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, shard_docs=20).collect()
+    assert len({r.shard for r in got}) > 15 and sum(r.taken for r in got) == pytest.approx(1600, abs=32)
