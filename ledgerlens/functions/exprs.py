@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 # Texts that stand for a missing value, and marks of null in numbers.
 BLANKS = ["", "nan", "none", "null", "<na>"]
 NULL_MARKS = ["", "-", "－", "—", "―", "–", "N/A", "n/a", "None", "null"]
-# Full-width forms and their plain ones.
-FULL_WIDTH = "０１２３４５６７８９．，－＋（）％　"
-HALF_WIDTH = "0123456789.,-+()% "
+#: Characters that compatibility folding (NFKC) turns into plain ones, as far as numbers, units and labels have them: the
+#: full-width forms of ASCII, the wide, thin and no-break blanks, and raised and lowered digits.
+FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000\u00a0\u2002\u2003\u2009" + "\u00b9\u00b2\u00b3" + "".join(map(chr, [0x2070, *range(0x2074, 0x207A), *range(0x2080, 0x208A)]))
+HALF_WIDTH = "".join(map(chr, range(0x21, 0x7F))) + " " * 5 + "123" + "0456789" + "0123456789"
 # How many million of the base currency a money unit is.
 MONEY = {"円": 1e-6, "千円": 1e-3, "百万円": 1.0, "億円": 100.0}
 TRUE_TEXTS = ("true", "1", "yes")
@@ -28,6 +29,7 @@ def truthy(c: Column, accepted: tuple[str, ...] = TRUE_TEXTS) -> Column:
 
 
 def half_width(c: Column) -> Column:
+    """Compatibility folding of the characters in FULL_WIDTH, and of the joined marks for companies and units."""
     return F.translate(c, FULL_WIDTH, HALF_WIDTH)
 
 
@@ -37,13 +39,23 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, "^\\s+|\\s+$", "")
+
+
 def parse_number(c: Column) -> Column:
-    """Locale number: full-width forms, null marks, leading triangle or parentheses as minus, commas, blanks and percent signs."""
-    text = F.trim(half_width(c.cast("string")))
-    negative = text.rlike("^[△▲]") | (text.startswith("(") & text.endswith(")"))
-    bare = F.regexp_replace(F.regexp_replace(text, "^[△▲]|^\\(|\\)$", ""), "[,\\s%]", "")
+    """Locale number: full-width forms, null marks, one leading triangle and then parentheses as marks of a negative, commas, blanks and percent signs.
+
+    With a mark the number is negative whatever its sign.
+    """
+    text = stripped(half_width(c.cast("string")))
+    triangle = text.rlike("^[△▲]")
+    bare = F.when(triangle, F.substring(text, 2, 1 << 20)).otherwise(text)
+    closed = bare.startswith("(") & bare.endswith(")")
+    bare = F.when(closed, F.substr(bare, F.lit(2), F.greatest(F.length(bare) - 2, F.lit(0)))).otherwise(bare)
+    bare = F.translate(bare, ", %", "")
     number = F.when(bare.rlike("^[+-]?[0-9]+(\\.[0-9]+)?$"), bare.try_cast("double"))
-    return F.when(~text.isin(NULL_MARKS), F.when(negative, -number).otherwise(number))
+    return F.when(~text.isin(NULL_MARKS), F.when(triangle | closed, -F.abs(number)).otherwise(number))
 
 
 def loose_number(c: Column) -> Column:
@@ -53,11 +65,16 @@ def loose_number(c: Column) -> Column:
     return F.when(text.rlike("[△▲]"), -F.abs(number)).otherwise(number)
 
 
+#: Units in their order of precedence, each with the texts that name it.
+UNITS = {"百万円": ["百万円"], "千円": ["千円"], "億円": ["億円"], "円": ["円"], "人": ["人"], "年": ["年"]}
+
+
 def normalize_unit(c: Column) -> Column:
-    """The first unit, in the order of precedence, that the text contains; null without one."""
-    text, out = half_width(c), None
-    for mark, unit in (("%", "%"), ("pure", "pure"), ("歳", "歳"), ("百万円", "百万円"), ("千円", "千円"), ("億円", "億円"), ("円", "円"), ("人", "人"), ("年", "年")):
-        out = F.when(text.contains(mark), unit) if out is None else out.when(text.contains(mark), unit)
+    """The first unit, in the order of precedence, that the text contains; null without one. The bare share is named by the whole text only."""
+    text = stripped(F.replace(stripped(half_width(c)), F.lit("単位:"), F.lit("")))
+    out = F.when(text.contains("%"), "%").when(F.lower(text) == "pure", "pure").when(text.contains("歳") | text.contains("才"), "歳")
+    for unit in UNITS:
+        out = out.when(text.contains(unit), unit)
     return out
 
 
@@ -66,10 +83,11 @@ def _million(unit: Column) -> Column:
 
 
 def convert_unit(value: Column, unit: Column, target: Column) -> Column:
-    """value in the target unit: equal units, years of age, money by its factor, shares to percent; else null."""
-    age = unit.isin("歳", "年") & target.isin("歳", "年")
-    money = unit.isin(*MONEY) & target.isin(*MONEY)
-    return F.when(unit == target, value).when(age, value).when(money, value * _million(unit) / _million(target)).when((unit == "pure") & (target == "%"), value * 100)
+    """value in the target unit, its own unit being normalized first: equal units, years of age, money by its factor, shares to percent; else null."""
+    own = normalize_unit(unit)
+    age = own.isin("歳", "年") & target.isin("歳", "年")
+    money = own.isin(*MONEY) & target.isin(*MONEY)
+    return F.when(own == target, value).when(age, value).when(money, value * _million(own) / _million(target)).when((own == "pure") & (target == "%"), value * 100)
 
 
 def safe_ratio(a: Column, b: Column) -> Column:

@@ -22,14 +22,16 @@ def _number(token: Column) -> Column:
 def label_runs(df: DataFrame, keys: list[str], text: str, labels: dict[str, list[str]]) -> DataFrame:
     """(keys, place, field_id, label, values): each label in the text and the numbers up to the next label, at most MOST; a dash is a null.
 
-    Labels do not overlap: the leftmost wins, of those that begin together the longest.
+    Labels do not overlap: the leftmost wins, of those that begin together the longest. Labels are found once; the texts
+    behind them are what a split at the labels leaves.
     """
     owner = {half(x): f for f, xs in labels.items() for x in xs}
     either = "|".join(re.escape(x) for x in sorted(owner, key=lambda x: (-len(x), x)))
-    pattern = F.lit(f"(?s)({either})((?:(?!{either}).)*)")
     t = half_width(F.coalesce(F.col(text), F.lit("")))
-    pairs = F.arrays_zip(F.regexp_extract_all(t, pattern, 1).alias("label"), F.regexp_extract_all(t, pattern, 2).alias("tail"))
-    rows = df.select(*keys, F.posexplode(pairs).alias("place", "p")).select(*keys, "place", "p.label", "p.tail")
+    found = df.select(*keys, t.alias("_t")).where(F.col("_t").rlike(either))
+    tails = F.slice(F.split("_t", f"(?:{either})"), 2, 1 << 30)
+    pairs = F.arrays_zip(F.regexp_extract_all("_t", F.lit(f"({either})"), 1).alias("label"), tails.alias("tail"))
+    rows = found.select(*keys, F.posexplode(pairs).alias("place", "p")).select(*keys, "place", "p.label", "p.tail")
     field = F.create_map(*[F.lit(x) for kv in owner.items() for x in kv])
     values = F.transform(F.slice(F.regexp_extract_all("tail", F.lit(AMOUNT)), 1, MOST), _number)
     return rows.select(*keys, "place", field[F.col("label")].alias("field_id"), "label", values.alias("values"))
@@ -52,10 +54,14 @@ def segment(text: Column, start: str, ends: list[str]) -> Column:
 
 
 def current_value(values: Column, percent: Column) -> Column:
-    """The current one of a run of numbers: the last of shares, the third of four amounts with ratios, else the last."""
-    n = F.size(values)
-    pairs = (n == 4) & (F.abs(F.get(values, F.lit(1))) <= 100) & (F.abs(F.get(values, F.lit(3))) <= 100) & (F.abs(F.get(values, F.lit(0))) > 100)
-    return F.when(n == 0, None).when(percent, F.element_at(values, -1)).when(pairs, F.get(values, F.lit(2))).otherwise(F.element_at(values, -1))
+    """The current one of a run of numbers: of shares the last up to 1,000 (else the last); of four or more that alternate
+    amounts and ratios the third; else the last.
+    """
+    n, at = F.size(values), lambda i: F.abs(F.get(values, F.lit(i)))
+    pairs = (n >= 4) & (at(1) <= 100) & (at(3) <= 100) & ((at(0) > 100) | (at(2) > 100))
+    shares = F.filter(values, lambda x: F.abs(x) <= 1000)
+    last = F.get(values, n - 1)
+    return F.when(n == 0, None).when(percent, F.coalesce(F.get(shares, F.size(shares) - 1), last)).when(pairs, F.get(values, F.lit(2))).otherwise(last)
 
 
 def order_row(values: Column) -> Column:

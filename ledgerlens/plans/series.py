@@ -117,21 +117,6 @@ def deterministic_ids(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", E.stable_id("corr", F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("id"))
 
 
-NUMBERS = [("1,234",), ("△1,234",), ("▲1,234",), ("(1,234)",), ("－",), ("１２．５",), ("abc",), ("12 %",), ("",), ("N/A",), ("+7",)]
-
-
-@query("locale_number_parse", "SELECT raw, CAST(value AS DOUBLE) AS value FROM (VALUES ('1,234', 1234.0), ('△1,234', -1234.0), ('▲1,234', -1234.0), ('(1,234)', -1234.0), ('－', NULL), ('１２．５', 12.5), ('abc', NULL), ('12 %', 12.0), ('', NULL), ('N/A', NULL), ('+7', 7.0)) t(raw, value)")
-def locale_number_parse(spark, sf):
-    return spark.createDataFrame(NUMBERS, "raw string").withColumn("value", E.parse_number(F.col("raw")))
-
-
-@query("unit_conversion", "SELECT CAST(value AS DOUBLE) AS value, unit, target, CAST(converted AS DOUBLE) AS converted FROM (VALUES (1000000.0, '円', '百万円', 1.0), (1000.0, '千円', '百万円', 1.0), (12.0, '億円', '百万円', 1200.0), (8885.0, '千円', '円', 8885000.0), (45.5, '年', '歳', 45.5), (0.359, 'pure', '%', 35.9), (5.0, '人', '円', NULL)) t(value, unit, target, converted)")
-def unit_conversion(spark, sf):
-    rows = [(1e6, "円", "百万円"), (1000.0, "千円", "百万円"), (12.0, "億円", "百万円"), (8885.0, "千円", "円"), (45.5, "年", "歳"), (0.359, "pure", "%"), (5.0, "人", "円")]
-    df = spark.createDataFrame(rows, "value double, unit string, target string")
-    return df.withColumn("converted", F.round(E.convert_unit(F.col("value"), F.col("unit"), F.col("target")), 6))
-
-
 @query("html_to_text", r"""
 WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<(br|/p|/tr|/div|/table|/h[1-6])[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM a),

@@ -50,23 +50,23 @@ def test_tuple_fit(spark):
 
 
 def test_whole_tables(spark):
-    """The queries named _all answer for every row of their tables, and the compared sides have rows without a match."""
+    """These queries answer for every row of their tables, and the compared sides have rows without a match."""
     read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
     run = lambda name: registry.QUERIES[name](spark, SF).collect()
     dates = {str(r.d)[:10] for r in read("orders").selectExpr("to_date(o_orderdate) as d").collect()}
-    assert {r.today for r in run("filing_windows_all")} == dates
+    assert {r.today for r in run("filing_windows")} == dates
     orders, items, docs = read("orders").count(), read("lineitem").select("l_orderkey").distinct().count(), read("documents").count()
-    compared = run("full_outer_compare_all")
+    compared = run("full_outer_compare")
     assert sum(r.status != "new_only" for r in compared) == orders and sum(r.status != "old_only" for r in compared) == items
     assert {"new_only", "old_only", "mismatch"} == {r.status for r in compared}
-    applied = run("review_apply_all")
+    applied = run("review_apply")
     assert sum(r.origin != "review_only" for r in applied) == docs and {"extracted", "review_only", "reviewed"} == {r.origin for r in applied}
-    assert "not_found" in {r.applied_status for r in run("review_applied_status_all")}
-    covered = run("target_coverage_all")
+    assert "not_found" in {r.applied_status for r in run("review_applied_status")}
+    covered = run("target_coverage")
     assert sum(r.documents for r in covered if r.metric == "F") == orders
     assert sum(r.parsed for r in covered) == read("orders").where("o_orderstatus in ('F', 'P')").count()
     statuses = {tuple(x) for x in read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_orderstatus").distinct().collect()}
-    assert {(r.item, c) for r in run("contradictory_maps_all") for c in r.concepts.split(",")} == {x for x in statuses if sum(y[0] == x[0] for y in statuses) > 1}
+    assert {(r.item, c) for r in run("contradictory_maps") for c in r.concepts.split(",")} == {x for x in statuses if sum(y[0] == x[0] for y in statuses) > 1}
 
 
 def test_flagship(spark):
