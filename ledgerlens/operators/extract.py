@@ -53,13 +53,72 @@ def merged_windows(hits: DataFrame, keys: list[str], position: str, before: int,
     return spans.groupBy(*keys, "_island").agg(F.min("_a").alias("window_start"), F.max("_b").alias("window_end"), F.count("*").alias("hits")).drop("_island")
 
 
-def fitted_tuples(tokens: DataFrame, keys: list[str], absolute: float = 1.0, share: float = 0.005) -> DataFrame:
-    """Five numbers in a row a, b, c, d, e with a + b = c and c - d = e, within max(absolute, share of the result)."""
-    w = Window.partitionBy(*keys).orderBy("position")
-    rows = tokens.withColumn("a", F.col("value"))
-    rows = rows.select("*", *[F.lead("value", i).over(w).alias(n) for n, i in (("b", 1), ("c", 2), ("d", 3), ("e", 4))])
-    ok = lambda diff, base: F.abs(diff) <= F.greatest(F.lit(absolute), F.abs(base) * share)
-    return rows.where(ok(F.col("a") + F.col("b") - F.col("c"), F.col("c")) & ok(F.col("c") - F.col("d") - F.col("e"), F.col("e"))).select(*keys, "position", "a", "b", "c", "d", "e")
+#: What rows of order tables are called; blanks may stand between the letters.
+ROW_LABELS = {"building": r"建\s*築(?:\s*(?:事業|工事|部門))?", "civil": r"土\s*木(?:\s*(?:事業|工事|部門))?", "total": r"(?:合\s*)?計"}
+
+
+def labelled_numbers(df: DataFrame, keys: list[str], text: str, labels: dict[str, str] = ROW_LABELS, least_digits: int = 3, most: int = 13) -> DataFrame:
+    """(keys, place, label, position, value): the row labels of a text in order, and the numbers up to the next label, at most `most`.
+
+    Numbers in parentheses are remarks and do not count, nor do bare integers of few digits. labels are patterns by name.
+    """
+    either = "|".join(labels.values())
+    t = F.regexp_replace(half_width(F.coalesce(F.col(text), F.lit(""))), r"\([^()]{1,20}\)", " ")
+    rows = df.select(*keys, t.alias("_t")).where(F.col("_t").rlike(either))
+    found = F.arrays_zip(F.regexp_extract_all("_t", F.lit(f"({either})"), 1).alias("label"), F.slice(F.split("_t", f"(?:{either})"), 2, 1 << 30).alias("tail"))
+    rows = rows.select(*keys, F.posexplode(found).alias("place", "x")).select(*keys, "place", "x.label", "x.tail")
+    name = F.when(F.lit(False), "")
+    for key, pattern in labels.items():
+        name = name.when(F.col("label").rlike(f"^(?:{pattern})$"), key)
+    tokens = F.filter(
+        F.regexp_extract_all("tail", F.lit(r"([△▲\-−]?[0-9][0-9,]*(?:\.[0-9]+)?)")),
+        lambda x: x.contains(",") | x.contains(".") | (F.length(F.translate(x, "△▲-−", "")) >= least_digits),
+    )
+    number = lambda x: F.translate(x, "△▲-−,", "").try_cast("double")
+    values = F.transform(F.slice(tokens, 1, most), lambda x: F.when(x.rlike("^[0-9]"), number(x)).otherwise(-number(x)))
+    return rows.select(*keys, "place", name.alias("label"), F.posexplode(values).alias("position", "value"))
+
+
+def fitted_tuples(tokens: DataFrame, keys: list[str], absolute: float = 1.0, share: float = 0.005, order: str = "position") -> DataFrame:
+    """(keys, position, a, b, c, d, e): five numbers in a row with a + b = c and c - d = e, within max(absolute, share of the result); where a key has none, four without the sum c, a + b - d = e within max(2, 0.1 %).
+
+    keys bound the windows: with the row's label among them no window runs into the next row.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    next_ = [F.lead("value", i).over(w).alias(f"_{i}") for i in range(1, 5)]
+    rows = tokens.select(*keys, F.col(order).alias("position"), F.col("value").alias("_0"), *next_)
+    v = [F.col(f"_{i}") for i in range(5)]
+    ok = lambda diff, base, least, part: F.coalesce(F.abs(diff) <= F.greatest(F.lit(least), F.abs(base) * part), F.lit(False))
+    five = ok(v[0] + v[1] - v[2], v[2], absolute, share) & ok(v[2] - v[3] - v[4], v[4], absolute, share)
+    four = ok(v[0] + v[1] - v[2] - v[3], v[3], 2.0, 0.001)
+    rows = rows.withColumn("_five", five).withColumn("_four", four).withColumn("_any", F.max("_five").over(Window.partitionBy(*keys)))
+    rows = rows.where(F.col("_five") | (~F.col("_any") & F.col("_four")))
+    five_ = F.col("_five")
+    return rows.select(*keys, "position", v[0].alias("a"), v[1].alias("b"), F.when(five_, v[2]).alias("c"), F.when(five_, v[3]).otherwise(v[2]).alias("d"), F.when(five_, v[4]).otherwise(v[3]).alias("e"))
+
+
+def row_consistency(fits: DataFrame, keys: list[str]) -> DataFrame:
+    """fits (keys, place, label, position, a..e) with consistent: false where a building row between its civil and its total row does not add up to the total in a role all three have."""
+    w = Window.partitionBy(*keys).orderBy("place", "position")
+    roles = ["a", "b", "c", "d", "e"]
+    row = F.struct("label", *roles)
+    out = fits.withColumn("_p", F.lag(row).over(w)).withColumn("_n", F.lead(row).over(w))
+    trio = (F.col("label") == "building") & (F.col("_p.label") == "civil") & (F.col("_n.label") == "total")
+    off = F.lit(False)
+    for r in roles:
+        total = F.col(f"_n.{r}")
+        off = off | F.coalesce(F.abs(F.col(r) + F.col(f"_p.{r}") - total) > F.greatest(F.lit(1.0), F.abs(total) * 0.005), F.lit(False))
+    out = out.withColumn("_bad", F.coalesce(trio & off, F.lit(False)))
+    around = F.coalesce(F.lag("_bad").over(w), F.lit(False)) | F.coalesce(F.lead("_bad").over(w), F.lit(False))
+    return out.withColumn("consistent", ~(F.col("_bad") | around)).drop("_p", "_n", "_bad")
+
+
+def classified(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, status, value) of found values (keys, value, whole, consistent): high_confidence if the consistent rows with a sum column agree in one value to a tenth, else low_confidence."""
+    sure = F.col("whole") & F.col("consistent")
+    rounded = F.count_distinct(F.when(sure, F.round("value", 1)))
+    out = found.groupBy(*keys).agg(rounded.alias("_n"), F.min(F.when(sure, F.col("value"))).alias("_v"))
+    return out.select(*keys, F.when(F.col("_n") == 1, "high_confidence").otherwise("low_confidence").alias("status"), F.when(F.col("_n") == 1, F.col("_v")).alias("value"))
 
 
 def forward_fill(df: DataFrame, keys: list[str], order: str, marker: str, out: str) -> DataFrame:

@@ -142,18 +142,6 @@ def number_tokens(spark, sf):
     return extract.number_tokens(rows, ["l_orderkey", "l_linenumber"], "s").select("l_orderkey", "l_linenumber", "token", "value")
 
 
-def line_values(spark, sf):
-    """Five numbers an order (a, b, a + b, a, b, ...) at positions, as a table would state them."""
-    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 1000 + 500).cast("double").alias("a"), (F.col("o_orderkey") % 77 + 100).cast("double").alias("b"))
-    values = F.array("a", "b", F.col("a") + F.col("b"), F.lit(50.0), F.col("a") + F.col("b") - 50, F.lit(3.0), "a")
-    return o.select("o_orderkey", F.posexplode(values).alias("position", "value"))
-
-
-@query("tuple_fit")
-def tuple_fit(spark, sf):
-    return extract.fitted_tuples(line_values(spark, sf), ["o_orderkey"])
-
-
 @query("section_windows", """
 WITH h AS (SELECT user_id, event_id AS p FROM events WHERE event_type = 'click'),
 s AS (SELECT user_id, greatest(p - 20, 0) AS a, p + 100 AS b, p FROM h),
