@@ -171,12 +171,16 @@ def melted_table(spark, sf):
     return tables.melt(rows, ["year"], "entity", {"total_f": "f", "total_o": "o"})
 
 
-@query("label_runs")
+@query("label_runs", """
+WITH r AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity) AS DOUBLE) AS q, CAST(floor(l_extendedprice) AS DOUBLE) AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, 0 AS place, 'q' AS field_id, 'quantity' AS label, CAST(q AS VARCHAR) AS numbers FROM r UNION ALL SELECT l_orderkey, l_linenumber, 1, 'p', 'price', p || '|-' FROM r UNION ALL SELECT l_orderkey, l_linenumber, 2, 't', 'price total', CAST(l_orderkey AS DOUBLE) || '' FROM r""")
 def label_runs(spark, sf):
     """Labels and the numbers behind them in texts made of line items."""
     text = F.concat_ws(" ", F.lit("quantity"), F.floor("l_quantity").cast("string"), F.lit("price"), F.floor("l_extendedprice").cast("string"), F.lit("－ price total"), F.col("l_orderkey").cast("string"))
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.alias("t"))
-    return tables.label_runs(rows, ["l_orderkey", "l_linenumber"], "t", {"q": ["quantity"], "p": ["price"], "t": ["price total"]})
+    out = tables.label_runs(rows, ["l_orderkey", "l_linenumber"], "t", {"q": ["quantity"], "p": ["price"], "t": ["price total"]})
+    numbers = F.array_join(F.transform("values", lambda v: F.when(v.isNull(), "-").otherwise(F.format_string("%.1f", v))), "|")
+    return out.select("l_orderkey", "l_linenumber", F.col("place").cast("int").alias("place"), "field_id", "label", numbers.alias("numbers"))
 
 
 @query("text_blocks", """
