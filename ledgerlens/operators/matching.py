@@ -27,20 +27,33 @@ def context_matches(context: Column, tokens: list[str]) -> Column:
     return out
 
 
-def candidates(facts: DataFrame, fields: DataFrame, keys: list[str]) -> DataFrame:
-    """facts (keys, local_name, label, is_text, value, ord) for each field (field_id, tags): tag match, non-text preferred, best priority, first of order.
+def candidates(facts: DataFrame, fields: dict[str, list[str]], keys: list[str]) -> DataFrame:
+    """facts (keys, local_name, label, is_text, value, ord) for each field and its tags: tag match, non-text preferred, best priority, first of order; with the number of distinct values that are left.
 
-    Tags are exploded to an equality join for local names; only label tokens need a containment join against the field list.
+    fields is a configuration. A fact finds its fields in one pass: names by a map from lower-case tags, labels by one test
+    a tag; a fact then has one row for each field that it matches, and only these are grouped.
     """
-    tokens = fields.select("field_id", "tags", F.explode("tags").alias("tag"))
-    named = tokens.where(F.col("tag").rlike("^[\\x00-\\x7F]+$")).withColumn("_l", F.lower("tag")).drop("tag")
-    by_name = facts.withColumn("_l", F.lower("local_name")).join(named, "_l").drop("_l")
-    by_label = facts.join(tokens.where(~F.col("tag").rlike("^[\\x00-\\x7F]+$")), F.col("label").contains(F.col("tag"))).drop("tag")
-    found = by_name.unionByName(by_label).distinct().withColumn("priority", tag_priority(F.col("tags"), F.col("local_name"), F.col("label"))).drop("tags")
+    plain = lambda t: t.isascii()
+    by_name: dict[str, list[tuple[str, int]]] = {}
+    for f, tags in fields.items():
+        for i, t in enumerate(tags):
+            if plain(t):
+                by_name.setdefault(t.lower(), []).append((f, i))
+    hit = lambda f, i: F.struct(F.lit(f).alias("field_id"), F.lit(i).alias("priority"))
+    none = F.array().cast("array<struct<field_id:string,priority:int>>")
+    named = F.create_map(*[x for t, hits in by_name.items() for x in (F.lit(t), F.array(*[hit(f, i) for f, i in hits]))]) if by_name else None
+    found = [F.coalesce(F.try_element_at(named, F.lower("local_name")), none)] if named is not None else []
+    labels = [F.when(F.col("label").contains(t), hit(f, i)) for f, tags in fields.items() for i, t in enumerate(tags) if not plain(t)]
+    if labels:
+        found.append(F.array_compact(F.array(*labels)))
+    rows = facts.withColumn("_h", F.explode(F.concat(*found) if found else none)).select(*facts.columns, "_h.field_id", "_h.priority")
+    # Of several tags that match a fact the first counts: the least priority of the group is the least of all its facts.
     group = Window.partitionBy(*keys, "field_id")
-    kept = found.withColumn("_plain", F.min(F.col("is_text").cast("int")).over(group)).where(F.col("is_text").cast("int") == F.col("_plain"))
+    kept = rows.withColumn("_plain", F.min(F.col("is_text").cast("int")).over(group)).where(F.col("is_text").cast("int") == F.col("_plain"))
     best = kept.withColumn("_best", F.min("priority").over(group)).where(F.col("priority") == F.col("_best"))
-    return best.withColumn("candidates", F.size(F.collect_set(F.trim("value")).over(group))).withColumn("_r", F.row_number().over(group.orderBy("ord"))).where("_r = 1").drop("_plain", "_best", "_r")
+    first = F.struct(*[c for c in rows.columns if c not in keys and c != "field_id"])
+    out = best.groupBy(*keys, "field_id").agg(F.min_by(first, "ord").alias("_f"), F.count_distinct(F.trim("value")).alias("candidates"))
+    return out.select(*keys, "field_id", "_f.*", "candidates")
 
 
 def always(targets: DataFrame, fields: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

@@ -57,9 +57,12 @@ def full_compare(old: DataFrame, new: DataFrame, keys: list[str], value: str, to
 
 
 def suppress_blanks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Blank candidates go where their key has any value."""
-    valued = df.where(F.col(value).isNotNull()).select(*keys).distinct().withColumn("_has", F.lit(True))
-    return df.join(valued, keys, "left").where(F.col(value).isNotNull() | F.col("_has").isNull()).drop("_has")
+    """Blank candidates go where their key has any value; null is a key like any other."""
+    valued = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct().withColumn("_has", F.lit(True))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(valued, same, "left").where(F.col(value).isNotNull() | F.col("_has").isNull()).select(*df.columns)
 
 
 def prefer_if_any(df: DataFrame, keys: list[str], condition: Column) -> DataFrame:

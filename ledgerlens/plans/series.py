@@ -208,12 +208,6 @@ def item_year_totals(spark, sf):
     return item_years(spark, sf)
 
 
-@query("batch_chunks", "SELECT c_custkey, CAST(floor((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) / 10) AS BIGINT) AS chunk FROM customer")
-def batch_chunks(spark, sf):
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    return table(spark, sf, "customer").select("c_custkey", F.floor((F.row_number().over(w) - 1) / 10).alias("chunk"))
-
-
 @query("priority_by_status", "SELECT entity, count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus = 'P') AS partial FROM (SELECT n_name AS entity, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) GROUP BY 1")
 def priority_by_status(spark, sf):
     count = lambda s: F.count_if(F.col("o_orderstatus") == s)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import actions, blocks, cells, governance, marts, parsing, series, store  # noqa: F401  they register their queries
+from .plans import actions, blocks, cells, chain, governance, marts, parsing, series, store  # noqa: F401  they register their queries
 from .plans.base import REGISTRY, SQL
 
 QUERIES = REGISTRY

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import re
+import time
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -13,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type as to_arrow
 
 from ..functions.exprs import nullify_blank
 
@@ -100,12 +103,109 @@ def sheet_rows(content: bytes, sheet: str = "xl/worksheets/sheet1.xml") -> list[
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a workbook; its first row has the names. A workbook is one task's work."""
-    content = spark.read.format("binaryFile").load(path).select("content").head()["content"]
-    rows = sheet_rows(bytes(content))
-    names = [n or f"column_{i}" for i, n in enumerate(rows[0] if rows else ["column_0"])]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.createDataFrame([tuple((r + [None] * len(names))[: len(names)]) for r in rows[1:]], schema)
+    """The first sheet of a workbook; its first row has the names, which alone come to the driver. A workbook is one task's work."""
+    rows = read_sheets(spark, path).where("sheet = 0")
+    head = rows.where("row = 0").select("cells").head()
+    names = [n or f"column_{i}" for i, n in enumerate(head["cells"] if head else ["column_0"])]
+    return rows.where("row > 0").orderBy("row").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
+SHEET_TABLE = "path string, member string, sheet int, row int, cells array<string>"
+
+
+def read_sheets(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".xlsx", ".csv", ".zip")) -> DataFrame:
+    """(path, member, sheet, row, cells): all rows of all sheets of the workbooks, csv files, and both inside zips, under path. Files spread over tasks; tables.blocks() parts rows into blocks."""
+
+    def sheets(name: str, content: bytes, member: str) -> Iterator[tuple[str, int, list]]:
+        kind = name.lower()
+        if kind.endswith(".xlsx"):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                found = [n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet[0-9]+\.xml", n)]
+            for i, sheet in enumerate(sorted(found, key=lambda n: int(re.search("[0-9]+", n)[0]))):
+                yield member, i, sheet_rows(content, sheet)
+        elif kind.endswith(".csv"):
+            yield member, 0, [[x or None for x in r] for r in csv.reader(io.StringIO(decoded(content, ("utf-8-sig", "cp932"))))]
+        elif kind.endswith(".zip") and not member:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for inner in sorted(z.namelist()):
+                    yield from sheets(inner, z.read(inner), inner)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for member, sheet, rows in sheets(p, content.as_py(), ""):
+                    n = len(rows)
+                    if n:
+                        cols = [pa.array([p] * n), pa.array([member] * n), pa.array([sheet] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(rows, pa.list_(pa.string()))]
+                        yield pa.record_batch(cols, names=["path", "member", "sheet", "row", "cells"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    keep = F.lit(False)
+    for s in suffixes:
+        keep = keep | F.lower("path").endswith(s)
+    return files.where(keep).select("path", "content").mapInArrow(run, SHEET_TABLE)
+
+
+def fetched(rows: DataFrame, key: str, fetch, retries: int = 3, pause: float = 1.0) -> DataFrame:
+    """(key, status, content, bytes, sha256, error) of what fetch(key) -> (status, content) gives, in the tasks, for each row.
+
+    A refusal for now (429) or a fault of the server (5xx), and a raised error, are tried again after a pause that grows by
+    its own length; what fails in the end is a row that says so. fetch is any function that can be shipped to executors.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def one(k) -> tuple[int, bytes | None, str | None]:
+        status, content, error = 0, None, None
+        for attempt in range(retries + 1):
+            if attempt:
+                time.sleep(pause * attempt)
+            try:
+                status, content = fetch(k)
+                error = None if status < 400 else f"status {status}"
+            except Exception as e:  # noqa: BLE001  any failure of a fetch is a row
+                status, content, error = 0, None, str(e)
+            if error is None or 400 <= status < 500 and status != 429:
+                break
+        return status, None if error else content, error
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, k in enumerate(batch.column(0).to_pylist()):
+                status, content, error = one(k)
+                digest = hashlib.sha256(content).hexdigest() if content is not None else None
+                cols = [batch.column(0).slice(i, 1), pa.array([status], pa.int32()), pa.array([content], pa.binary()), pa.array([None if content is None else len(content)], pa.int64()), pa.array([digest], pa.string()), pa.array([error], pa.string())]
+                yield pa.record_batch(cols, names=[key, "status", "content", "bytes", "sha256", "error"])
+
+    return rows.select(key).mapInArrow(run, f"`{key}` {kind}, status int, content binary, bytes bigint, sha256 string, error string")
+
+
+def read_index(days: DataFrame, fetch, **how) -> DataFrame:
+    """(day, document as JSON) of a filing index that is asked once a day: fetch(day) -> (status, JSON with a list `results`)."""
+    pages = fetched(days, "day", fetch, **how).where("error IS NULL")
+    return pages.select("day", F.explode(F.from_json(F.col("content").cast("string"), "results array<string>")["results"]).alias("document"))
+
+
+def parsed_documents(files: DataFrame, parsers: dict, schema: str) -> DataFrame:
+    """Rows that a registry of parsers makes of files (path, kind, content): parsers[kind](path, content) -> rows of the schema. A file whose kind has no parser, or whose parser fails, is a row with an error.
+
+    The registry is where layouts of single sources, and readers of formats for which there is a library, are plugged in.
+    """
+    fields = T._parse_datatype_string(schema).fieldNames()
+    types = [pa.string(), pa.string(), *(to_arrow(f.dataType) for f in T._parse_datatype_string(schema))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, kind, content in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                try:
+                    if kind not in parsers:
+                        raise LookupError(f"no parser for {kind}")
+                    rows = [(p, None, *r) for r in parsers[kind](p, content)]
+                except Exception as e:  # noqa: BLE001  a document that fails must not end the others
+                    rows = [(p, str(e), *[None] * len(fields))]
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["path", "error", *fields])
+
+    return files.select("path", "kind", "content").mapInArrow(run, f"path string, error string, {schema}")
 
 
 ENCODINGS = ("utf-16", "utf-8-sig", "cp932")
@@ -171,14 +271,32 @@ def fact_columns(facts: DataFrame) -> DataFrame:
     return facts.withColumns({"element_local_name": local, "is_text_block": block, "value_numeric": F.when(~block, number), "value_type": kind, "normalized_scope": scope})
 
 
+CHART = (
+    "chart struct<result: array<struct<meta: struct<symbol: string, currency: string>, timestamp: array<bigint>, "
+    "events: struct<dividends: map<string, struct<amount: double, date: bigint>>, splits: map<string, struct<date: bigint, numerator: double, denominator: double, splitRatio: string>>>, "
+    "indicators: struct<quote: array<struct<open: array<double>, high: array<double>, low: array<double>, close: array<double>, volume: array<bigint>>>, adjclose: array<struct<adjclose: array<double>>>>>>>"
+)
+
+
 def read_chart(spark: SparkSession, path: str) -> DataFrame:
-    """Price bars of landed chart JSON: parallel arrays become rows."""
-    quote = "array<struct<open: array<double>, high: array<double>, low: array<double>, close: array<double>, volume: array<bigint>>>"
-    schema = f"chart struct<result: array<struct<meta: struct<symbol: string>, timestamp: array<bigint>, indicators: struct<quote: {quote}>>>>"
-    one = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("chart.result").alias("r")).select("r.meta.symbol", "r.timestamp", F.get("r.indicators.quote", F.lit(0)).alias("q"))
-    bars = one.select("symbol", F.explode(F.arrays_zip("timestamp", "q.open", "q.high", "q.low", "q.close", "q.volume")).alias("b"))
-    day = F.to_date(F.from_utc_timestamp(F.timestamp_seconds("b.timestamp"), "Asia/Tokyo"))
-    return bars.select("symbol", day.alias("date"), "b.open", "b.high", "b.low", "b.close", "b.volume")
+    """Monthly bars of landed chart JSON, dated at the month's end in Japan: parallel arrays become rows, bars without a price go; with the month's dividends, summed, and its split factors, multiplied."""
+    from ..functions.parsing import day_in_japan, split_ratio
+
+    one = spark.read.schema(CHART).json(path, multiLine=True).select(F.explode("chart.result").alias("r")).select("r.*")
+    q, adj = F.get("indicators.quote", F.lit(0)), F.get("indicators.adjclose", F.lit(0))["adjclose"]
+    month = lambda c: F.date_format(day_in_japan(c), "yyyy-MM")
+    paid = F.transform(F.map_values("events.dividends"), lambda e: F.struct(month(e["date"]).alias("m"), e["amount"].alias("x")))
+    factor = lambda e: F.coalesce(F.try_divide(e["numerator"], e["denominator"]), split_ratio(e["splitRatio"]))
+    split = F.transform(F.map_values("events.splits"), lambda e: F.struct(month(e["date"]).alias("m"), factor(e).alias("x")))
+    bars = F.arrays_zip(F.col("timestamp").alias("t"), q["open"].alias("open"), q["high"].alias("high"), q["low"].alias("low"), q["close"].alias("close"), q["volume"].alias("volume"), F.coalesce(adj, F.array()).alias("adjusted_close"))
+    rows = one.select(F.col("meta.symbol").alias("symbol"), F.col("meta.currency").alias("currency"), paid.alias("_p"), split.alias("_s"), F.explode(bars).alias("b"))
+    rows = rows.where("b.close IS NOT NULL OR b.adjusted_close IS NOT NULL").withColumn("month", month(F.col("b.t")))
+    mine = lambda c: F.transform(F.filter(F.coalesce(c.cast("array<struct<m:string,x:double>>"), F.array().cast("array<struct<m:string,x:double>>")), lambda e: e["m"] == F.col("month")), lambda e: e["x"])
+    total = lambda xs, start, add: F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(start), add))
+    return rows.select(
+        "symbol", "currency", F.last_day(day_in_japan(F.col("b.t"))).alias("date"), "month", "b.open", "b.high", "b.low", "b.close", "b.adjusted_close", "b.volume",
+        total(mine(F.col("_p")), 0.0, lambda s, x: s + x).alias("dividend"), total(mine(F.col("_s")), 1.0, lambda s, x: s * x).alias("split_factor"),
+    )
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:

@@ -30,6 +30,43 @@ def write_any(df: DataFrame, path: str, kind: str, mode: str = "errorifexists",
         raise ValueError(f"no writer for {kind}")
 
 
+def repaired(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of a declared schema in its order: present ones cast (a text that does not fit is null), absent ones null."""
+    return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
+
+
+def union_all(tables: list[DataFrame]) -> DataFrame:
+    """All rows under the union of all columns."""
+    out = tables[0]
+    for df in tables[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def with_payload(df: DataFrame, typed: list[str], payload: str = "row_json") -> DataFrame:
+    """The typed columns of an evidence table, and the whole row as JSON with its keys in order."""
+    return df.select(*typed, F.to_json(F.struct(*sorted(df.columns))).alias(payload))
+
+
+def mirrors(tables: dict[str, tuple[DataFrame, list[str]]], base: str) -> None:
+    """A csv mirror of each table under base, its rows sorted by the table's key."""
+    for name, (df, keys) in tables.items():
+        flat(df).orderBy(*keys).write.mode("overwrite").option("header", True).csv(f"{base}/{name}")
+
+
+def bundle(tables: dict[str, DataFrame], base: str, kind: str = "jsonl") -> DataFrame:
+    """Writes tables side by side with a manifest (name, kind, rows, columns), which is returned and written too."""
+    spark = next(iter(tables.values())).sparkSession
+    entries = []
+    for name, df in tables.items():
+        write_any(df, f"{base}/{name}", kind, "overwrite")
+        back = spark.read.format({"jsonl": "json"}.get(kind, kind)).load(f"{base}/{name}")
+        entries.append((name, kind, back.count(), ",".join(df.columns)))
+    out = spark.createDataFrame(entries, "name string, kind string, rows long, columns string")
+    out.coalesce(1).write.mode("overwrite").json(f"{base}/manifest")
+    return out
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -69,8 +106,10 @@ def current(spark, base: str) -> DataFrame:
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A report table of at most so many rows; aggregate first."""
-    rows = [tuple(r) for r in df.limit(most).collect()]
+    """A report table; one of more than `most` rows fails, so that none is lost without a word: aggregate first."""
+    rows = [tuple(r) for r in df.limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = [df.columns, ["---"] * len(df.columns), *rows]
     return "\n".join("| " + " | ".join(cell(v) for v in r) + " |" for r in lines)

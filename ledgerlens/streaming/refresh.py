@@ -26,6 +26,35 @@ def merge_batches(spark: SparkSession, source: DataFrame, base: str, checkpoint:
     return source.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(upsert).start()
 
 
+def gated(steps: list[tuple[str, object]], gate) -> list[dict]:
+    """Runs named steps in order and returns a summary of each. A step is a function without arguments, or None for the gate:
+    gate() -> (ready, reasons) is asked there, and if it is not ready the steps behind it are skipped. A step that fails ends the run with its error in the summary.
+    """
+    out: list[dict] = []
+    closed = False
+    for name, step in steps:
+        if closed:
+            out.append({"step": name, "status": "skipped"})
+        elif step is None:
+            ready, reasons = gate()
+            closed = not ready
+            out.append({"step": name, "status": "ready" if ready else "blocked", "reasons": list(reasons)})
+        else:
+            try:
+                out.append({"step": name, "status": "done", "result": step()})
+            except Exception as e:  # noqa: BLE001  the summary says what failed
+                out.append({"step": name, "status": "failed", "error": str(e)})
+                closed = True
+    return out
+
+
+def poll_if_due(due: bool, refresh, force: bool = False) -> dict:
+    """Refreshes when it is due or forced, else says that it was skipped; for a scheduler's job."""
+    if not (due or force):
+        return {"status": "skipped"}
+    return {"status": "done", "result": refresh()}
+
+
 def windowed(events: DataFrame, ts: str, keys: list[str], value: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Counts and sums by event-time window; rows later than the watermark are not added."""
     marked = events.withWatermark(ts, late)

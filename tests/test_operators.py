@@ -151,7 +151,8 @@ def test_golden(spark):
 def test_matching(spark):
     facts = spark.createDataFrame([(1, "NetSales", "売上高", False, "10", 1), (1, "netsales", "売上高", False, "10 ", 2), (1, "Other", "売上高の内訳", True, "x", 0), (2, "Other", "売上高の内訳", True, "x", 0)], "doc int, local_name string, label string, is_text boolean, value string, ord int")
     fields = spark.createDataFrame([("sales", ["NetSales", "売上"]), ("none", ["Zip"])], "field_id string, tags array<string>")
-    found = matching.candidates(facts, fields, ["doc"])
+    found = matching.candidates(facts, {"sales": ["NetSales", "売上"], "none": ["Zip"]}, ["doc"])
+    assert matching.candidates(facts, {"none": ["Zip"]}, ["doc"]).count() == 0 and matching.candidates(facts, {}, ["doc"]).count() == 0
     assert {(r.doc, r.field_id, r.value, r.priority, r.candidates) for r in found.collect()} == {(1, "sales", "10", 0, 1), (2, "sales", "x", 1, 1)}
     grid = matching.always(facts, fields, found, ["doc"])
     assert grid.count() == 4 and grid.where("reason = 'not_found'").count() == 2
@@ -193,3 +194,32 @@ def test_coverage(spark):
     assert out == {"a": (2, 1, [2021]), "b": (1, 0, [2020])}
     tags = spark.createDataFrame([("x", ["t"], ["con"]), ("y", ["t"], ["non"]), ("z", ["u"], []), ("w", ["u"], []), ("v", ["q"], [])], "field_id string, tags array<string>, markers array<string>")
     assert {r.tag: r.severity for r in audit.duplicate_tags(tags).collect()} == {"t": "low", "u": "medium"}
+
+
+def test_blanks_of_a_null_key(spark):
+    """Null is a key like any other: its blanks go where it has a value."""
+    rows = spark.createDataFrame([(None, None, 1), (None, "v", 2), ("a", None, 3), ("b", None, 4), ("b", "w", 5)], "k string, v string, n int")
+    assert {r.n for r in merge.suppress_blanks(rows, ["k"], "v").collect()} == {2, 3, 5}
+
+
+def test_rules_over_one_pivot(spark):
+    """Negative bases, missing fields, the last of repeated rows, and entities that have none of a rule's fields."""
+    data = [("x", 1, "a", -10.0, 0), ("x", 2, "a", -5.0, 0), ("x", 3, "a", 4.0, 0), ("x", 3, "a", 5.0, 1), ("y", 1, "z", 1.0, 0)]
+    cells = spark.createDataFrame(data, "entity string, year int, field_id string, value double, ordinal int")
+    got = {r.year: (r.status, r.difference) for r in rules.validate(cells.where("ordinal = 0"), [rules.ChangeRule("c", ("a",))]).collect()}
+    assert got == {1: ("not_applicable", None), 2: ("pass", -0.5), 3: ("warn", -1.8)}
+    out = rules.validate(cells, [rules.SumRule("s", "a", ("b",)), rules.BoundRule("u", ("a",), "z")]).collect()
+    assert {(r.entity, r.year, r.rule_id, tuple(r.missing)) for r in out if r.rule_id == "s"} == {("x", y, "s", ("b",)) for y in (1, 2, 3)} | {("y", 1, "s", ("a", "b"))}
+    assert len([r for r in out if r.rule_id == "u"]) == 4 and all(r.status == "not_applicable" for r in out)
+    same = rules.validate(cells.withColumn("field_id", F.lit("a")), [rules.BoundRule("u", ("a",), "a")]).where("year = 3").head()
+    assert (same.status, same.difference) == ("pass", 0.0)
+
+
+def test_numbers_and_units(spark):
+    """Both marks, signs behind marks, folded digits; units with a prefix, the older sign for age, and the bare share."""
+    texts = {"△-5": -5.0, "(-5)": -5.0, "△(5)": -5.0, "（１，２３４）": -1234.0, "▲": None, "()": None, "5%": 5.0, "１２．５": 12.5, "²": 2.0, "△△5": None, "1 234": 1234.0}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", E.parse_number(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in df.collect()} == texts
+    units = {"単位：百万円": "百万円", "才": "歳", "pure": "pure", "impure": None, "（％）": "%", "": None, "千円・円": "千円"}
+    df = spark.createDataFrame([(t,) for t in units], "t string").select("t", E.normalize_unit(F.col("t")).alias("u"))
+    assert {r.t: r.u for r in df.collect()} == units
