@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, small, written
 
 SEGMENTS, DISTANCE = 32, 4
 #: Blocks of segments, and how many rows a cell holds on average before there are more.
@@ -198,9 +198,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min(id_col).alias("least_id")), "classes")
     roots = components(similar_links(classes.select("fp"), cell_rows)).select(F.col("node").alias("fp"), "root")
-    rooted = classes.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    label = written(rooted.join(least, "root").select("fp", "component_id"), "labels")
+    rooted = written(classes.join(roots, "fp", "left"), "rooted")
+    # Fingerprints without links are their own component; only the others look for the least id of theirs.
+    least = written(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
+    label = written(rooted.join(small(least), "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id")), "labels")
     return fps.join(label, "fp").select(id_col, "fp", "component_id")
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 from fractions import Fraction
 
 import pytest
@@ -68,6 +69,61 @@ def test_cutoffs_are_proven(spark, n, false_share, proven):
     assert all(v is None for k, v in cuts.items() if k != "symbol_share")  # no gain from the others
 
 
+def brute_cutoffs(rows, good):
+    """Cutoffs by the definition: exact binomial tails by fractions, fixed sequence within a rule, Bonferroni over rules and strata, the best gain."""
+    strata, out = {r["lang"] for r in rows}, {}
+    share, level = Fraction(str(quality.RISK)) / 5, quality.CONFIDENCE / 5 / len(strata)
+    feature = {
+        "symbol_share": lambda r: r["n_symbols"] / r["n_words"], "duplicate_line_share": lambda r: r["n_dup_lines"] / r["n_lines"], "repeated_word_share": lambda r: r["n_repeat_words"] / r["n_words"],
+        "long_words": lambda r: r["word_chars"] / r["n_words"], "short_words": lambda r: -r["word_chars"] / r["n_words"],
+    }
+    for s in strata:
+        held = [r for r in rows if r["lang"] == s and r["doc_id"] in good and not (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])]
+        for rule, (_, cuts) in quality.RULES.items():
+            values = [[feature[rule](r) for r in held if good[r["doc_id"]] == g] for g in (1, 0)]
+            n, bad, best = len(values[0]), len(values[1]), None
+            for cut in cuts:
+                k, b = (sum(v > cut for v in x) for x in values)
+                p = sum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k + 1)) if n else 1
+                if p > level:
+                    break
+                gain = (b / bad if bad else 0) - k / n
+                if bad and gain > quality.RISK and (best is None or gain > best[0] + 1e-12):
+                    best = (gain, cut)
+            out[s, rule] = best and best[1]
+    return out, feature
+
+
+def test_cutoffs_and_verdicts_by_definition(spark):
+    """All rules at once over three strata, one without a name and one too small to prove anything: the same cutoffs, and every row kept or rejected by them."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(9000):
+        bad, n = i % 2, rng.randint(30, 400)
+        lang = None if i % 50 == 0 else "xx" if i % 3 else "yy"
+        chars = n * (rng.choice([4, 5, 6]) if not bad or rng.random() < 0.7 else rng.choice([2, 11, 18]))
+        lines = rng.randint(1, 30)
+        rows.append({"doc_id": i, "lang": lang, "n_words": n, "word_chars": chars, "n_symbols": int(n * rng.choice([0, 0.02, 0.3, 0.8])) if bad else int(n * rng.choice([0, 0.01, 0.02, 0.03])),
+                     "n_dup_lines": int(lines * rng.random() * (0.9 if bad else 0.05)), "n_repeat_words": int(n * rng.random() * (0.55 if bad else 0.08)), "n_lines": lines})
+    good = {r["doc_id"]: 1 - r["doc_id"] % 2 for r in rows if rng.random() < 0.9}
+    columns = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+    measured = spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], ", ".join(f"{c} {'string' if c == 'lang' else 'long'}" for c in columns))
+    labels = spark.createDataFrame(list(good.items()), "doc_id long, quality int")
+    cutoffs = quality.learn_cutoffs(measured, labels)
+    want, feature = brute_cutoffs(rows, good)
+    got = {(r.stratum, r.rule): r.cutoff for r in cutoffs.collect()}
+    assert {k: v for k, v in want.items() if v is not None} == {k: v for k, v in got.items() if v is not None}
+    assert len({r for (_, r), v in want.items() if v is not None}) >= 4 and any(v is None for v in want.values())
+    for r in quality.judge(measured, cutoffs).collect():
+        own = r.asDict()
+        hits = [rule for rule in quality.RULES if want[r.lang, rule] is not None and feature[rule](own) > want[r.lang, rule]]
+        base = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert (r.rejected_by, r.base_failed, r.kept) == (hits, base, not base and not hits)
+    kept_good = [r for r in rows if good.get(r["doc_id"]) and r["n_words"] >= 50]
+    lost = sum(any(want[r["lang"], k] is not None and feature[k](r) > want[r["lang"], k] for k in quality.RULES) for r in kept_good)
+    assert lost <= quality.RISK * len(kept_good)
+
+
 def test_keep_good(spark):
     clean = " ".join(f"word{i}" for i in range(60))
     rows = [(1, clean, "en", "x"), (2, "short", "en", "x"), (2, None, None, None), (3, "a b c " * 40, "en", "x"), (3, clean, None, "y"), (None, clean, "de", "y")]
