@@ -29,8 +29,8 @@ def truthy(c: Column, accepted: tuple[str, ...] = TRUE_TEXTS) -> Column:
 
 
 def half_width(c: Column) -> Column:
-    """Compatibility folding of the characters in FULL_WIDTH, and of the joined marks for companies and units."""
-    return F.translate(c, FULL_WIDTH, HALF_WIDTH)
+    """Compatibility folding of the characters in FULL_WIDTH; texts of plain ASCII, one byte a character, pass as they are."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, FULL_WIDTH, HALF_WIDTH))
 
 
 def finite(c: Column) -> Column:
@@ -46,16 +46,13 @@ def stripped(c: Column) -> Column:
 def parse_number(c: Column) -> Column:
     """Locale number: full-width forms, null marks, one leading triangle and then parentheses as marks of a negative, commas, blanks and percent signs.
 
-    With a mark the number is negative whatever its sign.
+    With a mark the number is negative whatever its sign. Null marks have no digits and so give null.
     """
-    text = stripped(half_width(c.cast("string")))
-    triangle = text.rlike("^[△▲]")
-    bare = F.when(triangle, F.substring(text, 2, 1 << 20)).otherwise(text)
-    closed = bare.startswith("(") & bare.endswith(")")
-    bare = F.when(closed, F.substr(bare, F.lit(2), F.greatest(F.length(bare) - 2, F.lit(0)))).otherwise(bare)
-    bare = F.translate(bare, ", %", "")
-    number = F.when(bare.rlike("^[+-]?[0-9]+(\\.[0-9]+)?$"), bare.try_cast("double"))
-    return F.when(~text.isin(NULL_MARKS), F.when(triangle | closed, -F.abs(number)).otherwise(number))
+    text = half_width(c.cast("string"))
+    bare = F.translate(F.regexp_extract(text, "^\\s*[△▲]?\\(?([-+0-9., %]*)\\)?\\s*$", 1), ", %", "")
+    balanced = text.contains("(") == text.contains(")")
+    number = F.when(balanced & bare.rlike("^[+-]?[0-9]+(\\.[0-9]+)?$"), bare.try_cast("double"))
+    return F.when(text.rlike("^\\s*[△▲(]"), -F.abs(number)).otherwise(number)
 
 
 def loose_number(c: Column) -> Column:

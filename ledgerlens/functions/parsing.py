@@ -201,11 +201,10 @@ def concept_unit(c: Column) -> Column:
 
 def amounts(c: Column) -> Column:
     """The numbers of a text in order, as doubles; those in brackets or parentheses go first, triangles are minus."""
-    t = F.regexp_replace(half_width(_text(c)), "[\\[［【〔]\\s*[+-]?[0-9][0-9,\\s.]*(?:\\.[0-9]+)?\\s*[\\]］】〕]", " ")
-    t = F.regexp_replace(t, "\\(\\s*[0-9][0-9,\\s.]*(?:\\.[0-9]+)?\\s*\\)", " ")
+    t = F.regexp_replace(half_width(_text(c)), "[\\[［【〔]\\s*[+-]?[0-9][0-9,\\s.]*(?:\\.[0-9]+)?\\s*[\\]］】〕]|\\(\\s*[0-9][0-9,\\s.]*(?:\\.[0-9]+)?\\s*\\)", " ")
     token = "([△▲]?\\(?(?:[0-9]{1,3}(?:,\\s?[0-9]{3})+|[0-9]+)(?:\\.[0-9]+)?\\)?)"
-    number = lambda x: F.translate(F.regexp_replace(x, "\\s", ""), "△▲(),", "").try_cast("double")
-    return F.transform(F.regexp_extract_all(t, F.lit(token)), lambda x: F.when(x.rlike("^[△▲]") | x.startswith("("), -number(x)).otherwise(number(x)))
+    # A mark of a negative becomes a sign, all else but digits and dots goes.
+    return F.transform(F.regexp_extract_all(t, F.lit(token)), lambda x: F.translate(x, "△▲(),\u0020\u0009\u000a\u000b\u000c\u000d", "---").try_cast("double"))
 
 
 def plausible(field: Column, value: Column, unit: Column) -> Column:

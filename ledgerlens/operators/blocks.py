@@ -33,31 +33,32 @@ class Section:
     least_score: int = 0
 
 
-def hit_positions(text: Column, words: tuple[str, ...]) -> Column:
-    """Where any of the words begins in the text, from 0, in order; overlapping words all count.
+def _joined(spans: Column, new: Column) -> Column:
+    """spans with one more that begins at or behind all of them: joined to the last if they overlap or touch."""
+    last = F.element_at(spans, -1)
+    wider = F.struct(last["a"].alias("a"), F.greatest(last["b"], new["b"]).alias("b"))
+    return F.when(F.size(spans) == 0, F.array(new)).when(new["a"] <= last["b"], F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(wider))).otherwise(F.concat(spans, F.array(new)))
 
-    A word's places follow from the lengths of what a split at it leaves.
+
+def merged_spans(text: Column, words: tuple[str, ...], before: int, after: int) -> Column:
+    """Spans [from, to) around all places of any of the words, cut at the text's ends; overlapping or touching ones are one.
+
+    The places of a word follow from the lengths of what a split at it leaves; a word's spans are joined while they are
+    found, then those of all words, so that what is kept grows with the spans and not with the places.
     """
+    size, none = F.length(text), F.array().cast("array<struct<a:int,b:int>>")
     found = []
     for w in words:
-        lengths = F.transform(F.split(text, re.escape(w)), lambda p: F.length(p))
-        # The k-th hit begins after k pieces and k - 1 words.
-        at = F.transform(F.slice(lengths, 1, F.size(lengths) - 1), lambda _, k: F.aggregate(F.slice(lengths, F.lit(1), k + 1), F.lit(0), lambda s, n: s + n) + k * len(w))  # noqa: B023
-        found.append(at)
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
-
-
-def merged_spans(positions: Column, size: Column, before: int, after: int) -> Column:
-    """Spans [from, to) around sorted positions, cut at the text's ends; overlapping or touching ones are one."""
-    span = lambda p: F.struct(F.greatest(p - before, F.lit(0)).cast("int").alias("a"), F.least(p + after, size).cast("int").alias("b"))
-    start = F.array().cast("array<struct<a:int,b:int>>")
+        pieces = F.split(text, re.escape(w))
+        lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p))
 
-    def add(spans: Column, p: Column) -> Column:
-        last, new = F.element_at(spans, -1), span(p)
-        joined = F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], new["b"]).alias("b"))))
-        return F.when(F.size(spans) == 0, F.array(new)).when(new["a"] <= last["b"], joined).otherwise(F.concat(spans, F.array(new)))
+        def step(s: Column, n: Column) -> Column:
+            at = s["at"] + n
+            span = F.struct(F.greatest(at - before, F.lit(0)).cast("int").alias("a"), F.least(at + after, size).cast("int").alias("b"))
+            return F.struct((at + len(w)).cast("int").alias("at"), _joined(s["spans"], span).alias("spans"))  # noqa: B023  used at once
 
-    return F.aggregate(positions, start, add)
+        found.append(F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"]))
+    return F.aggregate(F.array_sort(F.flatten(F.array(*found))), none, _joined)
 
 
 def signature(text: Column, chars: int = 1000) -> Column:
@@ -67,9 +68,10 @@ def signature(text: Column, chars: int = 1000) -> Column:
 def windows(df: DataFrame, keys: list[str], text: str, section: Section, reach: int = 5000) -> DataFrame:
     """(keys, section, place, window_start, window): the windows of a section in each text that meet its predicate; equal signatures of a text once."""
     t = F.coalesce(F.col(text), F.lit(""))
-    spans = merged_spans(hit_positions(t, section.headings), F.length(t), reach // 5, reach)
-    cut = F.transform(spans, lambda s: F.struct(s["a"].alias("a"), F.regexp_replace(F.substr(t, s["a"] + 1, s["b"] - s["a"]), "^\\s+|\\s+$", "").alias("window")))
-    rows = df.select(*keys, F.posexplode(cut).alias("place", "w")).select(*keys, F.lit(section.name).alias("section"), "place", F.col("w.a").alias("window_start"), F.col("w.window").alias("window"))
+    rows = df.select(*keys, t.alias("_t")).where(P.has_any(F.col("_t"), list(section.headings)))
+    rows = rows.select(*keys, "_t", F.posexplode(merged_spans(F.col("_t"), section.headings, reach // 5, reach)).alias("place", "s"))
+    window = F.regexp_replace(F.substr("_t", F.col("s.a") + 1, F.col("s.b") - F.col("s.a")), "^\\s+|\\s+$", "")
+    rows = rows.select(*keys, F.lit(section.name).alias("section"), "place", F.col("s.a").alias("window_start"), window.alias("window"))
     rows = top_per_group(rows, [*keys, "section", signature(F.col("window"))], [F.col("place")], 1).drop("rank")
     w = F.col("window")
     ok = (keyword_hits(w, list(section.headings)) > 0) & (keyword_hits(w, list(section.table_words)) >= section.table_least)
@@ -121,7 +123,8 @@ def lines_of(text: Column) -> Column:
 
 
 def _label(line: Column) -> Column:
-    return F.regexp_replace(half_width(line), "\\s+", "")
+    """A line folded and without blanks, but for those behind a sign, which is then no sign of a number."""
+    return F.regexp_replace(half_width(line), "(?<![-+])\\s+", "")
 
 
 def _starts(label: Column, names: tuple[str, ...] | list[str]) -> Column:
@@ -131,39 +134,49 @@ def _starts(label: Column, names: tuple[str, ...] | list[str]) -> Column:
     return out
 
 
-def line_number(line: Column) -> Column:
-    """The number that a line is, and nothing else: blanks inside digits go, triangles and parentheses are minus."""
-    t = F.regexp_replace(F.translate(F.trim(half_width(line)), ",", ""), "(?<=[0-9])\\s+(?=[0-9])", "")
-    bare = F.trim(F.regexp_replace(t, "^[△▲]", ""))
-    inner = F.when(bare.rlike("^\\(.*\\)$"), F.trim(F.regexp_replace(bare, "^\\(|\\)$", ""))).otherwise(bare)
-    number = F.when(F.translate(inner, "−", "-").rlike("^[+-]?[0-9]+(\\.[0-9]+)?$"), F.translate(inner, "−", "-").try_cast("double"))
-    return F.when(t.rlike("^[△▲]") | bare.rlike("^\\(.*\\)$"), -F.abs(number)).otherwise(number)
+def line_number(label: Column) -> Column:
+    """The number that a line of _label() is, and nothing else: triangles and parentheses are minus."""
+    t = F.translate(label, "−,", "-")
+    number = F.regexp_extract(t, "^[△▲]?\\(?([+-]?[0-9]+(?:\\.[0-9]+)?)\\)?$", 1).try_cast("double")
+    marked = t.startswith("△") | t.startswith("▲") | t.startswith("(")
+    return F.when(t.contains("(") == t.contains(")"), F.when(marked, -F.abs(number)).otherwise(number))
 
 
 def numbers_below(lines: Column, row: Column) -> Column:
-    """The numbers on the lines below a row, at most MOST within REACH lines: lines before the first number are passed over, and the next row's label or any other text ends the run. A dash is a null."""
-    below = F.transform(
-        F.slice(lines, row + 2, REACH),
-        lambda x: F.struct(line_number(x).alias("n"), x.isin(*DASHES).alias("dash"), (_label(x).isin(*NEXT_ROWS) | _starts(_label(x), NEXT_STARTS)).alias("next")),
-    )
+    """The numbers on the lines below a row, at most MOST within REACH lines: lines before the first number are passed over, and the next row's label or any other text ends the run. A dash is a null. lines are structs (number, dash, next)."""
     start = F.struct(F.array().cast("array<double>").alias("v"), F.lit(False).alias("over"))
 
     def step(s: Column, x: Column) -> Column:
-        some, value = F.size(s["v"]) > 0, x["n"].isNotNull() | x["dash"]
-        over = s["over"] | (some & (x["next"] | ~value)) | (F.size(s["v"]) >= MOST)
-        return F.struct(F.when(~over & value, F.concat(s["v"], F.array(x["n"]))).otherwise(s["v"]).alias("v"), over.alias("over"))
+        value = x["number"].isNotNull() | x["dash"]
+        over = s["over"] | ((F.size(s["v"]) > 0) & (x["next"] | ~value)) | (F.size(s["v"]) >= MOST)
+        return F.struct(F.when(~over & value, F.concat(s["v"], F.array(x["number"]))).otherwise(s["v"]).alias("v"), over.alias("over"))
 
-    return F.aggregate(below, start, step, lambda s: s["v"])
+    return F.aggregate(F.slice(lines, row + 2, REACH), start, step, lambda s: s["v"])
 
 
 def labelled_rows(df: DataFrame, keys: list[str], text: str, names: tuple[str, ...] = BUILDING, starts: tuple[str, ...] = BUILDING_STARTS) -> DataFrame:
-    """(keys, row, period, values): the lines with one of the labels, the period whose marker stands last at or above each, and the numbers below."""
-    rows = df.select(*keys, lines_of(F.col(text)).alias("_l"))
-    marks = F.transform("_l", lambda x: F.when(P.has_any(_label(x), CURRENT), "current").when(P.has_any(_label(x), PREVIOUS), "previous"))
-    found = F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: _label(F.get("_l", i)).isin(*names) | _starts(_label(F.get("_l", i)), starts))
-    rows = rows.where(F.size("_l") > 0).withColumn("_m", marks).withColumn("row", F.explode(found))
-    above = F.array_compact(F.slice("_m", F.lit(1), F.col("row") + 1))
-    return rows.select(*keys, "row", F.get(above, F.size(above) - 1).alias("period"), numbers_below(F.col("_l"), F.col("row")).alias("values"))
+    """(keys, row, period, values): the lines with one of the labels, the period whose marker stands last at or above each, and the numbers below.
+
+    Every line is folded and read once: arrays are bound to lambda variables, as columns would be computed again where the
+    optimizer pushes a filter through them.
+    """
+
+    def rows_of(n: Column) -> Column:
+        found = F.filter(F.sequence(F.lit(0), F.size(n) - 1), lambda i: F.get(n, i).isin(*names) | _starts(F.get(n, i), starts))
+        read = F.transform(n, lambda x: F.struct(line_number(x).alias("number"), x.isin(*DASHES).alias("dash"), (x.isin(*NEXT_ROWS) | _starts(x, NEXT_STARTS)).alias("next")))
+        marks = F.transform(n, lambda x: F.when(P.has_any(x, CURRENT), "current").when(P.has_any(x, PREVIOUS), "previous"))
+        bound = F.array(F.struct(read.cast("array<struct<number:double,dash:boolean,next:boolean>>").alias("x"), marks.alias("m")))
+
+        def one(b: Column, i: Column) -> Column:
+            above = F.array_compact(F.slice(b["m"], F.lit(1), i + 1))
+            return F.struct(i.alias("row"), F.element_at(F.concat(F.array(F.lit(None).cast("string")), above), -1).alias("period"), numbers_below(b["x"], i).alias("values"))
+
+        out = F.get(F.transform(bound, lambda b: F.transform(found, lambda i: one(b, i))), F.lit(0))
+        return F.when((F.size(n) > 0) & (F.size(found) > 0), out.cast("array<struct<row:int,period:string,values:array<double>>>"))
+
+    folded = F.array(F.transform(lines_of(F.col(text)), _label))
+    rows = df.select(*keys, F.explode(F.flatten(F.transform(folded, rows_of))).alias("r"))
+    return rows.select(*keys, "r.row", "r.period", "r.values")
 
 
 def last_row(rows: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
@@ -261,33 +274,36 @@ def hint_values(df: DataFrame, keys: list[str], text: str, labels: dict[str, lis
     """
     owner = {half(x): f for f, xs in labels.items() for x in xs}
     either = "|".join(re.escape(x) for x in sorted(owner, key=lambda x: (-len(x), x)))
-    rows = df.select(*keys, lines_of(half_width(F.col(text))).alias("_l")).select(*keys, "_l", F.posexplode("_l").alias("row", "_line")).where(F.col("_line").rlike(either))
+    rows = df.select(*keys, half_width(F.col(text)).alias("_t")).where(F.col("_t").rlike(either)).select(*keys, lines_of(F.col("_t")).alias("_l"))
+    rows = rows.select(*keys, "_l", F.posexplode("_l").alias("row", "_line")).where(F.col("_line").rlike(either))
     found = F.arrays_zip(F.regexp_extract_all("_line", F.lit(f"({either})"), 1).alias("label"), F.slice(F.split("_line", f"(?:{either})"), 2, 1 << 30).alias("tail"))
-    rows = rows.select(*keys, "_l", "row", "_line", F.posexplode(found).alias("_p", "x")).select(*keys, "_l", "row", "_line", "_p", "x.label", "x.tail")
-    names = F.create_map(*[F.lit(x) for kv in owner.items() for x in kv])
-    # The lines below count up to the first that has a label of its own, or up to the first number.
+    # What follows on the next lines counts up to the first that has a label of its own; most values stand on the line itself.
     below = F.slice("_l", F.col("row") + 2, reach - 1)
-    stop = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.lit(reach - 1)), lambda i: F.coalesce(F.get(below, i).rlike(either), F.lit(True))), F.lit(0)), F.lit(reach - 1))
-    lower = F.filter(F.transform(F.slice(below, F.lit(1), stop), P.amounts), lambda v: F.size(v) > 0)
-    own = P.amounts(F.col("tail"))
-    values = F.when(F.size(own) > 0, own).otherwise(F.coalesce(F.get(lower, F.lit(0)), F.array().cast("array<double>")))
+    rows = rows.select(*keys, "row", "_line", below.alias("_b"), F.posexplode(found).alias("_p", "x")).select(*keys, "row", "_line", "_b", "_p", "x.label", "x.tail")
+    rows = rows.withColumn("_own", P.amounts(F.col("tail")))
+    start = F.struct(F.array().cast("array<double>").alias("v"), F.lit(False).alias("over"))
+    step = lambda s, x: F.struct(F.when(s["over"] | x.rlike(either), s["v"]).otherwise(P.amounts(x)).alias("v"), (s["over"] | x.rlike(either)).alias("over"))
+    first = F.aggregate("_b", start, lambda s, x: F.when(F.size(s["v"]) > 0, s).otherwise(step(s, x)), lambda s: s["v"])
+    names = F.create_map(*[F.lit(x) for kv in owner.items() for x in kv])
     none = P.has_any(F.col("_line"), ["特記事項なし", "該当事項なし", "該当なし"])
-    rows = rows.withColumn("field_id", names[F.col("label")]).withColumn("_v", values)
-    percent = F.col("tail").contains("%")
-    rows = rows.withColumn("value", F.coalesce(current_value(F.col("_v"), percent), F.when(none, F.lit(0.0)))).where("value IS NOT NULL")
-    return rows.groupBy(*keys, "field_id").agg(F.min_by(F.struct("row", "value"), F.struct("row", "_p")).alias("r")).select(*keys, "field_id", "r.*")
+    rows = rows.withColumn("field_id", names[F.col("label")]).withColumn("_v", F.when(F.size("_own") > 0, F.col("_own")).otherwise(first))
+    rows = rows.withColumn("value", F.coalesce(current_value(F.col("_v"), F.col("tail").contains("%")), F.when(none, F.lit(0.0))))
+    first = F.min_by(F.struct("row", "value"), F.when(F.col("value").isNotNull(), F.struct("row", "_p")))  # lines without a value do not count
+    return rows.groupBy(*keys, "field_id").agg(first.alias("r")).where("r IS NOT NULL").select(*keys, "field_id", "r.*")
 
 
 def segment_orders(df: DataFrame, keys: list[str], text: str, labels: dict[str, str], least: float = 1000.0) -> DataFrame:
     """(keys, field_id, row, value): of lines that begin with a segment's label the second amount of `least` or more (the first is last year's), on the line or on it and the next three; the last such line of a field counts."""
-    rows = df.select(*keys, lines_of(F.col(text)).alias("_l")).select(*keys, "_l", F.posexplode("_l").alias("row", "_line"))
+    rows = df.select(*keys, lines_of(F.col(text)).alias("_l")).select(*keys, "_l", F.posexplode("_l").alias("row", "_line")).withColumn("_n", _label(F.col("_line")))
     named = F.when(F.lit(False), "")
     for label in sorted(labels, key=lambda x: (-len(x), x)):
-        named = named.when(_label(F.col("_line")).startswith(label), labels[label])
+        named = named.when(F.col("_n").startswith(label), labels[label])
     large = lambda c: F.filter(P.amounts(c), lambda x: F.abs(x) >= least)
-    one, four = large(F.col("_line")), large(F.array_join(F.slice("_l", F.col("row") + 1, 4), " "))
-    rows = rows.withColumn("field_id", named).where("field_id IS NOT NULL").withColumn("value", F.get(F.when(F.size(one) >= 2, one).otherwise(four), F.lit(1))).where("value IS NOT NULL")
-    return rows.groupBy(*keys, "field_id").agg(F.max_by(F.struct("row", "value"), "row").alias("r")).select(*keys, "field_id", "r.*")
+    rows = rows.withColumn("field_id", named).where("field_id IS NOT NULL").withColumn("_one", large(F.col("_line")))
+    four = large(F.array_join(F.slice("_l", F.col("row") + 1, 4), " "))
+    rows = rows.withColumn("value", F.get(F.when(F.size("_one") >= 2, F.col("_one")).otherwise(four), F.lit(1)))
+    last = F.max_by(F.struct("row", "value"), F.when(F.col("value").isNotNull(), F.col("row")))
+    return rows.groupBy(*keys, "field_id").agg(last.alias("r")).where("r IS NOT NULL").select(*keys, "field_id", "r.*")
 
 
 def segment_narrative(df: DataFrame, keys: list[str], text: str, labels: dict[str, str]) -> DataFrame:

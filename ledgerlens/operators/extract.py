@@ -74,8 +74,7 @@ def labelled_numbers(df: DataFrame, keys: list[str], text: str, labels: dict[str
         F.regexp_extract_all("tail", F.lit(r"([△▲\-−]?[0-9][0-9,]*(?:\.[0-9]+)?)")),
         lambda x: x.contains(",") | x.contains(".") | (F.length(F.translate(x, "△▲-−", "")) >= least_digits),
     )
-    number = lambda x: F.translate(x, "△▲-−,", "").try_cast("double")
-    values = F.transform(F.slice(tokens, 1, most), lambda x: F.when(x.rlike("^[0-9]"), number(x)).otherwise(-number(x)))
+    values = F.transform(F.slice(tokens, 1, most), lambda x: F.translate(x, "△▲−-,", "----").try_cast("double"))
     return rows.select(*keys, "place", name.alias("label"), F.posexplode(values).alias("position", "value"))
 
 
