@@ -113,7 +113,7 @@ BUILDING_STARTS, DOMESTIC_STARTS = ("建築事業",), ("国内建築",)
 NEXT_ROWS = ["土木事業", "土木工事", "土木", "国内土木", "国内土木事業", "国内土木工事", "海外", "海外建設事業", "小計", "不動産事業", "計", "合計"]
 NEXT_STARTS = ["土木事業", "土木工事", "国内土木", "海外建設"]
 CURRENT, PREVIOUS = ["当事業年度", "当連結会計年度", "当期"], ["前事業年度", "前連結会計年度", "前期"]
-DASHES = ["-", "－", "―", "—", "–"]
+DASHES = ["-", "―", "—", "–"]  # the wide one folds to the first
 MOST, REACH = 8, 20
 
 
@@ -123,8 +123,8 @@ def lines_of(text: Column) -> Column:
 
 
 def _label(line: Column) -> Column:
-    """A line folded and without blanks, but for those behind a sign, which is then no sign of a number."""
-    return F.regexp_replace(half_width(line), "(?<![-+])\\s+", "")
+    """A line folded and without blanks."""
+    return F.translate(half_width(line), " \t\r\x0b\x0c", "")
 
 
 def _starts(label: Column, names: tuple[str, ...] | list[str]) -> Column:
@@ -134,10 +134,10 @@ def _starts(label: Column, names: tuple[str, ...] | list[str]) -> Column:
     return out
 
 
-def line_number(label: Column) -> Column:
-    """The number that a line of _label() is, and nothing else: triangles and parentheses are minus."""
-    t = F.translate(label, "−,", "-")
-    number = F.regexp_extract(t, "^[△▲]?\\(?([+-]?[0-9]+(?:\\.[0-9]+)?)\\)?$", 1).try_cast("double")
+def line_number(line: Column) -> Column:
+    """The number that a folded line is, and nothing else: blanks between digits go, triangles and parentheses are minus."""
+    t = F.translate(line, "−,", "-")
+    number = F.translate(F.regexp_extract(t, "^[△▲]?\\s*\\(?\\s*([+-]?[0-9][0-9\\s]*(?:\\.[0-9]+)?)\\s*\\)?$", 1), " \t", "").try_cast("double")
     marked = t.startswith("△") | t.startswith("▲") | t.startswith("(")
     return F.when(t.contains("(") == t.contains(")"), F.when(marked, -F.abs(number)).otherwise(number))
 
@@ -161,21 +161,26 @@ def labelled_rows(df: DataFrame, keys: list[str], text: str, names: tuple[str, .
     optimizer pushes a filter through them.
     """
 
+    def read(x: Column) -> Column:
+        label = F.translate(x, " \t\r\x0b\x0c", "")
+        mark = F.when(P.has_any(label, CURRENT), "current").when(P.has_any(label, PREVIOUS), "previous")
+        return F.struct(
+            line_number(x).alias("number"), x.isin(*DASHES).alias("dash"), (label.isin(*NEXT_ROWS) | _starts(label, NEXT_STARTS)).alias("next"),
+            mark.alias("mark"), (label.isin(*names) | _starts(label, starts)).alias("named"),
+        )
+
     def rows_of(n: Column) -> Column:
-        found = F.filter(F.sequence(F.lit(0), F.size(n) - 1), lambda i: F.get(n, i).isin(*names) | _starts(F.get(n, i), starts))
-        read = F.transform(n, lambda x: F.struct(line_number(x).alias("number"), x.isin(*DASHES).alias("dash"), (x.isin(*NEXT_ROWS) | _starts(x, NEXT_STARTS)).alias("next")))
-        marks = F.transform(n, lambda x: F.when(P.has_any(x, CURRENT), "current").when(P.has_any(x, PREVIOUS), "previous"))
-        bound = F.array(F.struct(read.cast("array<struct<number:double,dash:boolean,next:boolean>>").alias("x"), marks.alias("m")))
+        found = F.filter(F.sequence(F.lit(0), F.size(n) - 1), lambda i: F.get(n, i)["named"])
 
-        def one(b: Column, i: Column) -> Column:
-            above = F.array_compact(F.slice(b["m"], F.lit(1), i + 1))
-            return F.struct(i.alias("row"), F.element_at(F.concat(F.array(F.lit(None).cast("string")), above), -1).alias("period"), numbers_below(b["x"], i).alias("values"))
+        def one(i: Column) -> Column:
+            above = F.array_compact(F.transform(F.slice(n, F.lit(1), i + 1), lambda x: x["mark"]))
+            return F.struct(i.alias("row"), F.element_at(F.concat(F.array(F.lit(None).cast("string")), above), -1).alias("period"), numbers_below(n, i).alias("values"))
 
-        out = F.get(F.transform(bound, lambda b: F.transform(found, lambda i: one(b, i))), F.lit(0))
-        return F.when((F.size(n) > 0) & (F.size(found) > 0), out.cast("array<struct<row:int,period:string,values:array<double>>>"))
+        return F.when(F.exists(n, lambda x: x["named"]), F.transform(found, one).cast("array<struct<row:int,period:string,values:array<double>>>"))
 
-    folded = F.array(F.transform(lines_of(F.col(text)), _label))
-    rows = df.select(*keys, F.explode(F.flatten(F.transform(folded, rows_of))).alias("r"))
+    lines = F.transform(lines_of(half_width(F.col(text))), read).cast("array<struct<number:double,dash:boolean,next:boolean,mark:string,named:boolean>>")
+    # An outer explode, as the optimizer would ask a plain one's array for its size first, by computing it twice.
+    rows = df.select(*keys, F.explode_outer(F.flatten(F.transform(F.array(lines), rows_of))).alias("r")).where("r IS NOT NULL")
     return rows.select(*keys, "r.row", "r.period", "r.values")
 
 
@@ -279,7 +284,7 @@ def hint_values(df: DataFrame, keys: list[str], text: str, labels: dict[str, lis
     found = F.arrays_zip(F.regexp_extract_all("_line", F.lit(f"({either})"), 1).alias("label"), F.slice(F.split("_line", f"(?:{either})"), 2, 1 << 30).alias("tail"))
     # What follows on the next lines counts up to the first that has a label of its own; most values stand on the line itself.
     below = F.slice("_l", F.col("row") + 2, reach - 1)
-    rows = rows.select(*keys, "row", "_line", below.alias("_b"), F.posexplode(found).alias("_p", "x")).select(*keys, "row", "_line", "_b", "_p", "x.label", "x.tail")
+    rows = rows.select(*keys, "row", "_line", below.alias("_b"), F.posexplode_outer(found).alias("_p", "x")).select(*keys, "row", "_line", "_b", "_p", "x.label", "x.tail")
     rows = rows.withColumn("_own", P.amounts(F.col("tail")))
     start = F.struct(F.array().cast("array<double>").alias("v"), F.lit(False).alias("over"))
     step = lambda s, x: F.struct(F.when(s["over"] | x.rlike(either), s["v"]).otherwise(P.amounts(x)).alias("v"), (s["over"] | x.rlike(either)).alias("over"))

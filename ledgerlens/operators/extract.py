@@ -66,7 +66,8 @@ def labelled_numbers(df: DataFrame, keys: list[str], text: str, labels: dict[str
     t = F.regexp_replace(half_width(F.coalesce(F.col(text), F.lit(""))), r"\([^()]{1,20}\)", " ")
     rows = df.select(*keys, t.alias("_t")).where(F.col("_t").rlike(either))
     found = F.arrays_zip(F.regexp_extract_all("_t", F.lit(f"({either})"), 1).alias("label"), F.slice(F.split("_t", f"(?:{either})"), 2, 1 << 30).alias("tail"))
-    rows = rows.select(*keys, F.posexplode(found).alias("place", "x")).select(*keys, "place", "x.label", "x.tail")
+    # Outer, as the optimizer would compute a plain explode's array once more to ask for its size.
+    rows = rows.select(*keys, F.posexplode_outer(found).alias("place", "x")).select(*keys, "place", "x.label", "x.tail")
     name = F.when(F.lit(False), "")
     for key, pattern in labels.items():
         name = name.when(F.col("label").rlike(f"^(?:{pattern})$"), key)
@@ -75,7 +76,7 @@ def labelled_numbers(df: DataFrame, keys: list[str], text: str, labels: dict[str
         lambda x: x.contains(",") | x.contains(".") | (F.length(F.translate(x, "△▲-−", "")) >= least_digits),
     )
     values = F.transform(F.slice(tokens, 1, most), lambda x: F.translate(x, "△▲−-,", "----").try_cast("double"))
-    return rows.select(*keys, "place", name.alias("label"), F.posexplode(values).alias("position", "value"))
+    return rows.select(*keys, "place", name.alias("label"), F.posexplode_outer(values).alias("position", "value")).where("value IS NOT NULL")
 
 
 def fitted_tuples(tokens: DataFrame, keys: list[str], absolute: float = 1.0, share: float = 0.005, order: str = "position") -> DataFrame:

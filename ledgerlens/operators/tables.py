@@ -15,8 +15,8 @@ AMOUNT = r"(\(?[△▲]?[0-9][0-9,]*(?:\.[0-9]+)?\)?|[－—―–]|(?<![0-9A-Za
 
 
 def _number(token: Column) -> Column:
-    bare = F.translate(token, "()△▲,", "").try_cast("double")
-    return F.when(F.length(F.translate(token, "△▲(", "")) < F.length(token), -bare).otherwise(bare)
+    """Marks of a negative become one sign; what is no number then is null."""
+    return F.replace(F.translate(token, "△▲(),", "---"), F.lit("--"), F.lit("-")).try_cast("double")
 
 
 def label_runs(df: DataFrame, keys: list[str], text: str, labels: dict[str, list[str]]) -> DataFrame:
@@ -31,7 +31,8 @@ def label_runs(df: DataFrame, keys: list[str], text: str, labels: dict[str, list
     found = df.select(*keys, t.alias("_t")).where(F.col("_t").rlike(either))
     tails = F.slice(F.split("_t", f"(?:{either})"), 2, 1 << 30)
     pairs = F.arrays_zip(F.regexp_extract_all("_t", F.lit(f"({either})"), 1).alias("label"), tails.alias("tail"))
-    rows = found.select(*keys, F.posexplode(pairs).alias("place", "p")).select(*keys, "place", "p.label", "p.tail")
+    # Outer, as the optimizer would compute a plain explode's array once more to ask for its size; no text here is without a label.
+    rows = found.select(*keys, F.posexplode_outer(pairs).alias("place", "p")).select(*keys, "place", "p.label", "p.tail")
     field = F.create_map(*[F.lit(x) for kv in owner.items() for x in kv])
     values = F.transform(F.slice(F.regexp_extract_all("tail", F.lit(AMOUNT)), 1, MOST), _number)
     return rows.select(*keys, "place", field[F.col("label")].alias("field_id"), "label", values.alias("values"))

@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table in few files over all cores, ahead of work that is heavy for each row; a table of enough partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with entity (nation) and year (fiscal, ending in March)."""
     t = lambda n: table(spark, sf_dir, n)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import blocks, extract
-from .base import query, table
+from .base import query, spread, table
 from .parsing import said
 
 FOUND = blocks.Section("found", ("the ", "der "), ("and", "und", "est"), table_least=1, needs=("a", "e"), barred=("§", "%%%"), barred_chars=100, bonus=(("in", 4), ("zz", -6)), cap=3, least_score=4)
@@ -31,7 +31,7 @@ f AS (SELECT *, 3 * h + 2 * tw + CASE WHEN contains(win, 'in') THEN 4 ELSE 0 END
 @query("section_text_windows", SECTION_SQL + " SELECT doc_id, a AS window_start, length(win) AS chars, score FROM f")
 def section_text_windows(spark, sf):
     """Windows around heading words in every document, merged, without repeats, that meet the section's predicate."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
     out = blocks.windows(docs, ["doc_id"], "text", FOUND, reach=400)
     return out.select("doc_id", F.col("window_start").cast("long").alias("window_start"), F.length("window").alias("chars"), blocks.score(F.col("window"), FOUND).alias("score"))
 
@@ -44,7 +44,7 @@ SELECT doc_id, lang, source, score, length(win) AS chars FROM z QUALIFY row_numb
 @query("section_blocks", LOCATE_SQL)
 def section_blocks(spark, sf):
     """The best three blocks of each language and source."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "lang", "source", "text")
     out = blocks.locate(docs.withColumn("_g", F.struct("lang", "source")), ["doc_id", "lang", "source"], ["lang", "source"], "text", [FOUND])
     return out.select("doc_id", "lang", "source", "score", F.length("window").alias("chars"))
 

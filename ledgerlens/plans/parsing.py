@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..functions import parsing as P
 from ..operators import normalize, tables
-from .base import query, table
+from .base import query, spread, table
 
 
 def said(spark, sf, *columns: str, source: str = "orders", keys: tuple[str, ...] = ("o_orderkey",)):
     """The keys of a table with texts made from them."""
-    return table(spark, sf, source).select(*keys, *[F.expr(c) for c in columns])
+    return spread(table(spark, sf, source)).select(*keys, *[F.expr(c) for c in columns])
 
 
 N = "CAST(o_custkey AS STRING)"

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, mapping, reads, schedule, tables
-from .base import WITH_ORDERS, order_years, query, table
+from .base import WITH_ORDERS, order_years, query, spread, table
 from .cells import CELL, cells
 
 
@@ -177,7 +177,7 @@ SELECT l_orderkey, l_linenumber, 0 AS place, 'q' AS field_id, 'quantity' AS labe
 def label_runs(spark, sf):
     """Labels and the numbers behind them in texts made of line items."""
     text = F.concat_ws(" ", F.lit("quantity"), F.floor("l_quantity").cast("string"), F.lit("price"), F.floor("l_extendedprice").cast("string"), F.lit("－ price total"), F.col("l_orderkey").cast("string"))
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.alias("t"))
+    rows = spread(table(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", text.alias("t"))
     out = tables.label_runs(rows, ["l_orderkey", "l_linenumber"], "t", {"q": ["quantity"], "p": ["price"], "t": ["price total"]})
     numbers = F.array_join(F.transform("values", lambda v: F.when(v.isNull(), "-").otherwise(F.format_string("%.1f", v))), "|")
     return out.select("l_orderkey", "l_linenumber", F.col("place").cast("int").alias("place"), "field_id", "label", numbers.alias("numbers"))
