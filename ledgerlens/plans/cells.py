@@ -357,9 +357,9 @@ h AS (SELECT field_id, g.entity, year, value IS NOT NULL AS f FROM g LEFT JOIN c
 SELECT field_id, entity, count(*) AS expected, count(*) FILTER (f) AS filled, count(*) FILTER (NOT f) AS blank, coalesce(string_agg(CASE WHEN NOT f THEN CAST(year AS VARCHAR) END, ',' ORDER BY year), '') AS blank_years, round(count(*) FILTER (f) / count(*), 4) AS rate
 FROM h GROUP BY 1, 2""")
 def coverage_matrix(spark, sf):
-    years = order_years(spark, sf).select("year").distinct()
+    years = order_years(spark, sf).agg(F.collect_set("year").alias("years"))
     names = table(spark, sf, "nation").select(F.col("n_name").alias("entity")).distinct()
-    grid = names.withColumn("year", F.explode(F.array(*[F.lit(r["year"]) for r in years.orderBy("year").collect()])))  # a few fiscal years
+    grid = names.join(F.broadcast(years)).select("entity", F.explode("years").alias("year"))  # one row of a few fiscal years
     exclusions = spark.createDataFrame([("NATION_3", "total_p", None, 1996)], "entity string, field_id string, from_year int, to_year int")
     filled = cells(spark, sf).where("value IS NOT NULL")
     out = audit.coverage_matrix(names, grid, FIELDS[1:], filled, exclusions)
